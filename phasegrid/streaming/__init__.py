@@ -1,0 +1 @@
+"""No streaming operator exists: every source handled here is a finite file."""
