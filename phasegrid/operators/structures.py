@@ -79,28 +79,28 @@ def balanced(df: DataFrame, fold: str = "fold") -> DataFrame:
 
 
 def _partners(df: DataFrame, key: str, fold: str) -> DataFrame:
-    """(key, at, partner) for every letter, 0-based; -1 for unpaired ones.
+    """(key, place, partner) for every letter, 0-based; -1 for unpaired ones.
 
     On one nesting level opening and closing brackets alternate, so a bracket's
     partner is simply its neighbour on that level.
     """
-    letters = df.select(key, F.posexplode(F.split(F.col(fold), "")).alias("at", "ch")).filter(F.col("ch") != "")
-    line = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    letters = df.select(key, F.posexplode(F.split(F.col(fold), "")).alias("place", "ch")).filter(F.col("ch") != "")
+    line = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("ch") == "(", 1).when(F.col("ch") == ")", -1).otherwise(0)
     level = F.sum(step).over(line) + F.when(F.col("ch") == ")", 1).otherwise(0)
-    nest = Window.partitionBy(key, "level").orderBy("at")
-    partner = F.when(F.col("ch") == "(", F.lead("at").over(nest)).when(F.col("ch") == ")", F.lag("at").over(nest))
+    nest = Window.partitionBy(key, "level").orderBy("place")
+    partner = F.when(F.col("ch") == "(", F.lead("place").over(nest)).when(F.col("ch") == ")", F.lag("place").over(nest))
     marked = letters.withColumn("level", F.when(F.col("ch").isin("(", ")"), level))
-    return marked.withColumn("partner", F.coalesce(partner, F.lit(-1))).select(key, "at", "partner")
+    return marked.withColumn("partner", F.coalesce(partner, F.lit(-1))).select(key, "place", "partner")
 
 
 def pair_table(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
-    """(key, at, partner) for every bracket of a balanced fold, 0-based."""
+    """(key, place, partner) for every bracket of a balanced fold, 0-based."""
     return _partners(df, key, fold).filter(F.col("partner") >= 0)
 
 
 def with_pairs(df: DataFrame, key: str, fold: str = "fold") -> DataFrame:
     """Add ``pairs``: the partner of every letter of the fold as one array, -1 where there is none."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "partner")))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "partner")))
     arrays = _partners(df, key, fold).groupBy(key).agg(F.transform(ordered, lambda e: e["partner"]).alias("pairs"))
     return df.join(arrays, key, "left")

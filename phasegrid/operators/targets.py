@@ -18,12 +18,8 @@ BROADCAST_WORDS = 2_000_000
 
 
 def words(seq: Column, size: int) -> Column:
-    """Array of (at, word) for every 0-based start; empty when the sequence is shorter."""
-    n = F.length(seq)
-    starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda i: F.struct(i.alias("at"), F.substring(seq, i + 1, F.lit(size)).alias("word"))
-    )
+    """All overlapping words of ``size`` letters, in order of their start, in one pass over the text."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))
 
 
 def of_species(queries: DataFrame, prefix: str) -> DataFrame:
@@ -42,10 +38,10 @@ def target_runs(targets: DataFrame, queries: DataFrame, target_id: str, seq: str
     the score is the number of paired letters.
     """
     asked = queries.select(
-        "ordinal", "name", F.inline(words(reverse_complement(F.col("seq")), min_len)).alias("q_at", "word")
+        "ordinal", "name", F.posexplode(words(reverse_complement(F.col("seq")), min_len)).alias("q_at", "word")
     )
     asked = broadcast_within(asked, BROADCAST_WORDS)
-    scanned = targets.select(target_id, F.inline(words(F.upper(F.col(seq)), min_len)).alias("r_at", "word"))
+    scanned = targets.select(target_id, F.posexplode(words(F.upper(F.col(seq)), min_len)).alias("r_at", "word"))
     hits = scanned.join(asked, "word").withColumn("diagonal", F.col("r_at") - F.col("q_at"))
     line = Window.partitionBy(target_id, "ordinal", "diagonal").orderBy("r_at")
     return (

@@ -48,5 +48,5 @@ def sample_contigs(df: DataFrame, fraction: float, stride: int = STRIDE, seed: i
     partitioning and needs no shuffle.
     """
     digits = F.regexp_extract("chr", "([0-9]+)$", 1).cast("long")
-    number = F.coalesce(digits, F.length("chr").cast("long")) * 7919 + int(1) * (F.col("tile") / stride).cast("long") * 104729
+    number = F.coalesce(digits, F.length("chr").cast("long")) * 7919 + (F.col("tile") / stride).cast("long") * 104729
     return df.filter(F.pmod(number + seed, F.lit(1000)) < int(round(fraction * 1000)))

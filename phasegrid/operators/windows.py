@@ -128,6 +128,19 @@ def phase_slots(pos_freq: DataFrame, cycle: int = CYCLE, dicer: int = DICER) ->
     )
 
 
+def phase_window_join(pos_freq: DataFrame, cycle: int = CYCLE, dicer: int = DICER) -> DataFrame:
+    """The pairs behind ``phase_slots``: every expressed place with the expressed places in its slots.
+
+    Each place is spread over its slots and joined by equality, at most
+    ``cycle`` rows per place.
+    """
+    placed = pos_freq.withColumn("f", F.col("w") + F.col("c")).filter(F.col("f") > 0)
+    slot = F.explode(F.array(*[F.col("pos") + i * dicer for i in range(cycle)]))
+    left = placed.select(*CONTIG_KEYS, "pos", slot.alias("q"))
+    right = placed.select(*CONTIG_KEYS, F.col("pos").alias("q"), F.col("f").alias("q_freq"))
+    return left.join(right, [*CONTIG_KEYS, "q"]).select(*CONTIG_KEYS, "pos", "q", "q_freq")
+
+
 def high_potential(min_k: int = 3, min_maxf: int = 4) -> Column:
     return (F.col("k") >= min_k) & (F.col("maxf") >= min_maxf)
 

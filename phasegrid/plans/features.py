@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators import genome, hairpin, overlap, segments, significance, structures, targets
 from ..operators.tiling import contig_name
 from ..params import CONTIG_KEYS, CYCLE, DICER, DRIFT
+from ..session import stored
 from .phasing import phased_windows
 
 SEGMENT_KEY = [*CONTIG_KEYS, "eff_pos"]
@@ -37,7 +38,8 @@ def phased_segments(
 ) -> DataFrame:
     """Reads to consolidated segments with adjusted probabilities, tails and votes."""
     windows = phased_windows(reads, cycle, dicer, drift, min_windows)
-    return significant(segments.consolidate(windows))
+    # ranks, fits and the vote each need the segments, a small table, but not the reads again
+    return significant(stored(segments.consolidate(windows), "segments"))
 
 
 def significant(consolidated: DataFrame) -> DataFrame:
@@ -75,14 +77,14 @@ def segment_features(
     ``reads`` carries sequences. Each annotation is computed on the segment key
     alone and joined back by it.
     """
-    base = with_sequences(phased_segments(reads, cycle, dicer, drift, min_windows), tiles, tile_size, dicer)
+    found = phased_segments(reads, cycle, dicer, drift, min_windows)
+    base = with_sequences(found, tiles, tile_size, dicer)
     folds = {
         "precursor": "prefold", "precursor_200_500": "prefold_200_500", "precursor_500_200": "prefold_500_200",
     }
     row = with_fold(base, folds, fold_fn)
     row = row.withColumn("row_id", F.concat_ws("|", *[F.col(k).cast("string") for k in SEGMENT_KEY]))
-    row = row.withColumn("CONTIG", contig_name(F.col("chr"), F.col("tile")))
-    row = segments.annotate_reference(row, loci)
+    row = stored(row, "folded")
 
     bases = overlap.base_composition(row, reads, SEGMENT_KEY, dicer)
     slots = overlap.positional_bases(row, reads, SEGMENT_KEY, dicer)
@@ -104,4 +106,6 @@ def segment_features(
     out = structures.effector_kmer_table(out)
     site = structures.structure_window(out, "precursor", "prefold", "eff_seq")
     keep = [c for c in out.columns]
-    return structures.structure_features(site, [f"`{c}`" for c in keep]).drop("row_id")
+    out = structures.structure_features(site, [f"`{c}`" for c in keep]).drop("row_id")
+    # known loci may repeat a contig, and then repeat its rows, so they come last
+    return segments.annotate_reference(out.withColumn("CONTIG", contig_name(F.col("chr"), F.col("tile"))), loci)

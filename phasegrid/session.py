@@ -52,3 +52,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable without overriding a cluster's choice."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def stored(df, name: str):
+    """Write ``df`` once below the shared folder and return it read back.
+
+    Used where several later steps need one expensive result: none of them
+    repeats the work, and a lost executor costs nothing that was written.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

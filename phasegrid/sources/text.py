@@ -10,20 +10,25 @@ from pyspark.sql import types as T
 FLAG, REF, POS, SEQ = 1, 2, 3, 9
 
 
+# a library is a file x.sam, or a folder x.sam (also library=x.sam) of part files
+_LIBRARY = r"(?:/|^)(?:library=)?([^/=]+)\.sam(?:/|$)"
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment lines of one file or folder; header lines start with ``@``.
+    """Alignment lines of all libraries below ``path``; header lines start with ``@``.
 
-    ``library`` is the file name without its ending. Only files ending in
-    ``.sam`` are read, so backups such as ``x.sam~`` are passed over; an empty
-    file gives no rows.
+    ``library`` is the base name of the ``.sam`` file or folder. Other files,
+    backups such as ``x.sam~`` among them, are passed over; an empty file gives
+    no rows. All libraries are one table, and the library is a grouping key.
     """
     lines = (
-        spark.read.option("pathGlobFilter", "*.sam")
+        spark.read.option("recursiveFileLookup", True)
         .text(path)
-        .select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.sam$", 1).alias("library"))
+        .select("value", F.regexp_extract(F.col("_metadata.file_path"), _LIBRARY, 1).alias("library"))
     )
     f = F.split("value", "\t")
-    return lines.filter(~F.col("value").startswith("@") & (F.col("value") != "")).select(
+    kept = (F.col("library") != "") & (F.col("value") != "") & ~F.col("value").startswith("@")
+    return lines.filter(kept).select(
         "library",
         F.get(f, F.lit(FLAG)).cast("int").alias("flag"),
         F.get(f, F.lit(REF)).alias("chr"),
@@ -34,28 +39,16 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_alignments(reads: DataFrame, path: str) -> None:
-    """Alignment text with eleven fields below ``path/library=.../``, one line per read."""
+    """Alignment text with eleven fields, one folder per library, a header line in each."""
     star = F.lit("*")
     line = F.concat_ws(
         "\t",
         F.lit("r"), F.col("flag").cast("string"), F.col("chr"), F.col("pos").cast("string"), F.lit("255"),
         F.concat(F.col("len").cast("string"), F.lit("M")), star, F.lit("0"), F.lit("0"), F.col("seq"), star,
     )
-    reads.select("library", line.alias("value")).write.partitionBy("library").text(path)
-
-
-def read_library_folders(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment text kept in one ``library=`` folder per library, many part files each."""
-    lines = spark.read.option("basePath", path).text(path)
-    f = F.split("value", "\t")
-    return lines.filter(~F.col("value").startswith("@") & (F.col("value") != "")).select(
-        F.col("library").cast("string").alias("library"),
-        F.get(f, F.lit(FLAG)).cast("int").alias("flag"),
-        F.get(f, F.lit(REF)).alias("chr"),
-        F.get(f, F.lit(POS)).cast("long").alias("pos"),
-        F.length(F.get(f, F.lit(SEQ))).alias("len"),
-        F.get(f, F.lit(SEQ)).alias("seq"),
-    )
+    folder = F.concat(F.col("library"), F.lit(".sam")).alias("library")
+    heads = reads.select("library").distinct().select(folder, F.lit("@HD\tVN:1.0").alias("value"))
+    heads.unionByName(reads.select(folder, line.alias("value"))).write.partitionBy("library").text(path)
 
 
 def expand_counts(counted: DataFrame, seq: str = "seq", count: str = "n") -> DataFrame:
