@@ -37,7 +37,6 @@ def _scaled_sql(c: str) -> str:
             f" WHEN list_contains(k_{c}, {c}) THEN {same} {inner} END AS {c}")
 
 
-PROBS = "[" + ", ".join(f"{i}/9.0::DOUBLE" for i in range(10)) + "]"
 PROBS = "[" + ", ".join(repr(i / 9) for i in range(10)) + "]"
 view("knots", ["features"], "SELECT " + ", ".join(f"quantile_cont({c}, {PROBS}) AS k_{c}" for c in NUMERIC) + " FROM features")
 view("scaled", ["features", "knots"], f"""
@@ -337,7 +336,7 @@ SELECT seq_id, i, len, find, round(-0.125::DOUBLE * {pct("(100 * length(replace(
       coalesce(list_max(list_transform(regexp_extract_all(f, '\)\.+\('), lambda x: length(x) - 2)), 0))
   + 1.0::DOUBLE * coalesce(list_max(list_transform(regexp_extract_all(f, '\(\.+\)'), lambda x: length(x) - 2)), 0)
   + 0.125::DOUBLE * coalesce(list_max(list_transform(regexp_extract_all(f, '[()]+'), lambda x: length(x))), 0)
-  - 4.0::DOUBLE * length(list_filter(range(1, length(q) - 1), lambda j: substr(q, j, 3) = 'AAA'))
+  - 4.0::DOUBLE * coalesce(list_sum(list_transform(regexp_extract_all(q, 'AAA+'), lambda x: length(x) - 2)), 0)
   + 0.015625::DOUBLE * find, 6) AS score FROM candsite""")
 view("candfirst", ["candscore"], "SELECT seq_id, find AS pos, len, arg_min(score, i) AS score FROM candscore GROUP BY ALL")
 view("candsums", ["candfirst"], """

@@ -125,7 +125,8 @@ MOTIFS = structure.HOMOTRIPLETS
 
 
 def _motif(s: str, m: str) -> str:
-    return f"length(list_filter(range(1, length({s}) - 1), lambda i: substr({s}, i, 3) = '{m}'))"
+    run = f"regexp_extract_all({s}, '{m}{m[0]}*')"
+    return f"CAST(coalesce(list_sum(list_transform({run}, lambda x: length(x) - 2)), 0) AS INT)"
 
 
 @query("motif_count", "doc_id long, " + ", ".join(f"NBtriplet{m[0]} int" for m in MOTIFS), ["docseq"],

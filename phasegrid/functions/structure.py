@@ -39,12 +39,18 @@ def paired_percentage(fold: Column) -> Column:
 
 
 def paired_rolling_average(fold: Column, window: int) -> Column:
-    """Mean number of paired bases per window; NULL when the fold is shorter."""
+    """Mean number of paired bases per window; NULL when the fold is shorter.
+
+    The j-th letters of all windows form one substring, so ``window`` substrings
+    give the total without visiting the windows one by one.
+    """
     n = F.length(fold)
-    starts = F.sequence(F.lit(1), n - window + 1)
-    per_window = F.transform(starts, lambda i: F.lit(window) - dots(F.substring(fold, i, F.lit(window))))
-    total = F.aggregate(per_window, F.lit(0), lambda a, b: a + b)
-    return F.when(n == 0, F.lit(0.0)).when(n >= window, round_ratio(total, n - window + 1, 2))
+    windows = n - window + 1
+    unpaired = F.lit(0)
+    for j in range(window):
+        unpaired = unpaired + dots(F.substring(fold, F.lit(j + 1), windows))
+    total = windows * window - unpaired
+    return F.when(n == 0, F.lit(0.0)).when(n >= window, round_ratio(total, windows, 2))
 
 
 def _matches(fold: Column, pattern: str) -> Column:

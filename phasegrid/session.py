@@ -48,6 +48,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df, *keys: str):
+    """Hash rows by ``keys`` over as many tasks as the session runs side by side.
+
+    Done on narrow rows right before they are multiplied: the work is spread,
+    and grouping by the same keys afterwards needs no further shuffle. The count
+    is explicit so that small inputs are not merged into one task again.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable without overriding a cluster's choice."""
     if spark.sparkContext.getCheckpointDir() is None:
