@@ -35,7 +35,12 @@ class Tables:
 
     def docseq(self) -> DataFrame:
         s = self._nucleotides(F.col("text"))
-        return self.read("documents").select("doc_id", F.when(F.length(s) == 0, "ACGT").otherwise(s).alias("s"))
+        docs = self.read("documents").select("doc_id", "text")
+        # texts are few and costly: a file with fewer splits than cores is spread over them
+        cores = self.spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:
+            docs = docs.repartition(cores)
+        return docs.select("doc_id", F.when(F.length(s) == 0, "ACGT").otherwise(s).alias("s"))
 
     def genome_tiles(self) -> DataFrame:
         """(chr, tile, seq): the documents of a chromosome end to end, cut every 1000 bases."""

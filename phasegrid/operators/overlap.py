@@ -30,17 +30,26 @@ def _bins(start: Column, end: Column, size: int) -> Column:
     return F.explode(F.sequence(F.floor(start / size), F.floor(end / size)))
 
 
-def overlap_join(segments: DataFrame, reads: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """Pairs of a segment [L_bound, R_bound] and read rows [pos, pos + len - 1] on one library and chr."""
-    right_end = F.col("pos") + F.col("len") - 1
-    s = segments.withColumn("_bin", _bins(F.col("L_bound"), F.col("R_bound"), bin_size))
-    r = reads.withColumn("_bin", _bins(F.col("pos"), right_end, bin_size))
-    first_common = F.greatest(F.floor(F.col("L_bound") / bin_size), F.floor(F.col("pos") / bin_size))
-    return (
-        s.join(r, ["library", "chr", "_bin"])
-        .filter((F.col("pos") <= F.col("R_bound")) & (right_end >= F.col("L_bound")) & (F.col("_bin") == first_common))
-        .drop("_bin")
+def overlap_join(segments: DataFrame, reads: DataFrame, bin_size: int = BIN, how: str = "inner") -> DataFrame:
+    """Pairs of a segment [L_bound, R_bound] and read rows [pos, pos + len - 1] on one library and chr.
+
+    With ``how="left"`` every (segment, bin) without a pair stays once, its read
+    columns NULL.
+    """
+    s = segments.withColumn("_bin", _bins(F.col("L_bound"), F.col("R_bound"), bin_size)).alias("s")
+    r = reads.withColumn("_bin", _bins(F.col("pos"), F.col("pos") + F.col("len") - 1, bin_size)).alias("r")
+    first_common = F.greatest(F.floor(F.col("s.L_bound") / bin_size), F.floor(F.col("r.pos") / bin_size))
+    pair = (
+        (F.col("s.library") == F.col("r.library"))
+        & (F.col("s.chr") == F.col("r.chr"))
+        & (F.col("s._bin") == F.col("r._bin"))
+        & (F.col("r.pos") <= F.col("s.R_bound"))
+        & (F.col("r.pos") + F.col("r.len") - 1 >= F.col("s.L_bound"))
+        & (F.col("s._bin") == first_common)
     )
+    own = [F.col(f"s.`{c}`") for c in segments.columns]
+    theirs = [F.col(f"r.`{c}`") for c in reads.columns if c not in ("library", "chr")]
+    return s.join(r, pair, how).select(*own, *theirs)
 
 
 def read_counts(reads: DataFrame) -> DataFrame:
@@ -66,34 +75,47 @@ def letter_totals(reads: DataFrame, dicer: int = DICER) -> DataFrame:
     return placed.groupBy("library", "chr", "pos", "len").agg(*aggs)
 
 
+def _share(count: str, total: Column) -> Column:
+    return F.when(total == 0, F.lit(0.0)).otherwise(round_ratio(F.col(count) * 100, total, 2))
+
+
 def _totals(segments: DataFrame, reads: DataFrame, key: list[str], columns: list[str], dicer: int) -> DataFrame:
+    """Sums of the read counts per segment, zeros where no read overlaps."""
     summed = letter_totals(reads, dicer).select("library", "chr", "pos", "len", *columns)
-    spans = segments.select(*key, "L_bound", "R_bound").distinct()
-    hits = overlap_join(spans, summed).groupBy(*key).agg(*[F.sum(c).alias(c) for c in columns])
-    return segments.select(*key).distinct().join(hits, key, "left").fillna(0, columns)
+    hits = overlap_join(segments.select(*key, "L_bound", "R_bound"), summed, how="left")
+    return hits.groupBy(*key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
 
 
-def _share(count: str, total: Column) -> Column:
-    return F.when(total == 0, F.lit(0.0)).otherwise(round_ratio(F.col(count) * 100, total, 2))
+_BASE_COLUMNS = [f"n_{b}" for b in BASES]
+_SLOT_COLUMNS = [f"n_{slot}{b}" for slot in SLOTS for b in BASES]
+
+
+def _composition() -> list[Column]:
+    total = F.col("n_A") + F.col("n_C") + F.col("n_G") + F.col("n_T")
+    shares = {b: _share(f"n_{b}", total) for b in BASES}
+    gc = F.round(shares["G"] + shares["C"], 2).alias("GC%")
+    return [total.alias("total_frq_DicerCall"), *[c.alias(f"{b}%") for b, c in shares.items()], gc]
+
+
+def _slots() -> list[Column]:
+    out = []
+    for slot in SLOTS:
+        total = F.col(f"n_{slot}A") + F.col(f"n_{slot}C") + F.col(f"n_{slot}G") + F.col(f"n_{slot}T")
+        out += [_share(f"n_{slot}{b}", total).alias(f"{slot}{b}") for b in BASES]
+    return out
 
 
 def base_composition(segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER) -> DataFrame:
     """Number of bases in the overlapping reads, and their percentages; zeros where there is no read."""
-    columns = [f"n_{b}" for b in BASES]
-    sums = _totals(segments, reads, key, columns, dicer)
-    total = F.col("n_A") + F.col("n_C") + F.col("n_G") + F.col("n_T")
-    shares = {f"{b}%": _share(f"n_{b}", total) for b in BASES}
-    out = sums.withColumns({"total_frq_DicerCall": total, **shares})
-    out = out.withColumn("GC%", F.round(F.col("`G%`") + F.col("`C%`"), 2))
-    return out.drop(*columns)
+    return _totals(segments, reads, key, _BASE_COLUMNS, dicer).select(*key, *_composition())
 
 
 def positional_bases(segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER) -> DataFrame:
     """Percentage of every base at fifteen places of the overlapping reads: sixty columns."""
-    columns = [f"n_{slot}{b}" for slot in SLOTS for b in BASES]
-    sums = _totals(segments, reads, key, columns, dicer)
-    shares = []
-    for slot in SLOTS:
-        total = F.col(f"n_{slot}A") + F.col(f"n_{slot}C") + F.col(f"n_{slot}G") + F.col(f"n_{slot}T")
-        shares += [_share(f"n_{slot}{b}", total).alias(f"{slot}{b}") for b in BASES]
-    return sums.select(*key, *shares)
+    return _totals(segments, reads, key, _SLOT_COLUMNS, dicer).select(*key, *_slots())
+
+
+def read_statistics(segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER) -> DataFrame:
+    """``base_composition`` and ``positional_bases`` from one pass over the reads."""
+    sums = _totals(segments, reads, key, _BASE_COLUMNS + _SLOT_COLUMNS, dicer)
+    return sums.select(*key, *_composition(), *_slots())

@@ -67,45 +67,64 @@ def with_sequences(rows: DataFrame, tiles: DataFrame, tile_size: int, dicer: int
     return found.withColumns(offsets)
 
 
+def hairpin_columns(row: DataFrame, profile: str = "def") -> DataFrame:
+    """Verdicts for the segment and for both long precursors: nine columns per ``row_id``.
+
+    The three folds of a row become three short rows, so the pair tables and the
+    rules are planned and run once.
+    """
+    kinds = {"": ("prefold", F.col("dist_5p")), "25": ("prefold_200_500", F.lit(200)), "52": ("prefold_500_200", F.lit(500))}
+    folds = F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.col(f).alias("fold"), at.cast("int").alias("at")) for k, (f, at) in kinds.items()]
+    )
+    sites = row.select("row_id", F.length("eff_seq").alias("size"), F.inline(folds)).withColumn(
+        "site_id", F.concat_ws("|", "row_id", "kind")
+    )
+    paired = structures.with_pairs(sites, "site_id", "fold")
+    judged = hairpin.hairpin_check(paired, F.col("at"), F.col("at") + F.col("size"), profile)
+    names = ["hairpin_conclu", "fback_start", "fback_stop"]
+    wide = [F.max(F.when(F.col("kind") == k, F.col(n))).alias(n + k) for k in kinds for n in names]
+    return judged.select("row_id", "kind", *names).groupBy("row_id").agg(*wide)
+
+
 def segment_features(
     reads: DataFrame, tiles: DataFrame, tile_size: int, queries: DataFrame, species: str, loci: DataFrame,
     fold_fn: Callable[[pd.Series], pd.Series], cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT,
     min_windows: int = 10,
 ) -> DataFrame:
-    """The whole way from reads to the feature table.
+    """The whole way from reads to the feature table; ``reads`` carries sequences.
 
-    ``reads`` carries sequences. Each annotation is computed on the segment key
-    alone and joined back by it.
+    The folded segments are written once. Every annotation then reads only the
+    columns it needs and comes back by the row's key.
     """
     found = phased_segments(reads, cycle, dicer, drift, min_windows)
-    base = with_sequences(found, tiles, tile_size, dicer)
     folds = {
         "precursor": "prefold", "precursor_200_500": "prefold_200_500", "precursor_500_200": "prefold_500_200",
     }
-    row = with_fold(base, folds, fold_fn)
-    row = row.withColumn("row_id", F.concat_ws("|", *[F.col(k).cast("string") for k in SEGMENT_KEY]))
-    row = stored(row, "folded")
-
-    bases = overlap.base_composition(row, reads, SEGMENT_KEY, dicer)
-    slots = overlap.positional_bases(row, reads, SEGMENT_KEY, dicer)
+    folded = with_fold(with_sequences(found, tiles, tile_size, dicer), folds, fold_fn)
+    row = stored(
+        folded.withColumns(
+            {
+                "row_id": F.concat_ws("|", *[F.col(k).cast("string") for k in SEGMENT_KEY]),
+                "precursor_id": F.sha2("precursor", 256),
+                "CONTIG": contig_name(F.col("chr"), F.col("tile")),
+            }
+        ),
+        "folded",
+    )
+    bases = overlap.read_statistics(row.select(*SEGMENT_KEY, "L_bound", "R_bound"), reads, SEGMENT_KEY, dicer)
+    # equal precursors of several libraries are searched once
+    distinct = row.groupBy("precursor_id").agg(F.any_value("precursor").alias("precursor"))
     asked = targets.of_species(queries, species)
-    # equal precursors of several libraries are scanned once
-    distinct = row.select("precursor").distinct()
-    hits = targets.best_any_two(distinct, targets.target_runs(distinct, asked, "precursor", "precursor"), "precursor")
-    out = row.join(bases, SEGMENT_KEY).join(slots, SEGMENT_KEY).join(hits, "precursor")
-
-    size = F.length("eff_seq")
-    for fold, at, suffix in (
-        ("prefold", F.col("dist_5p"), ""),
-        ("prefold_200_500", F.lit(200), "25"),
-        ("prefold_500_200", F.lit(500), "52"),
-    ):
-        names = (f"hairpin_conclu{suffix}", f"fback_start{suffix}", f"fback_stop{suffix}")
-        out = structures.with_pairs(out, "row_id", fold)
-        out = hairpin.hairpin_check(out, at, at + size, "def", names).drop("pairs")
-    out = structures.effector_kmer_table(out)
-    site = structures.structure_window(out, "precursor", "prefold", "eff_seq")
-    keep = [c for c in out.columns]
-    out = structures.structure_features(site, [f"`{c}`" for c in keep]).drop("row_id")
+    hits = targets.best_any_two(distinct, targets.target_runs(distinct, asked, "precursor_id", "precursor"), "precursor_id")
+    site = structures.structure_window(row.select("row_id", "precursor", "prefold", "eff_seq"), "precursor", "prefold")
+    shapes = structures.structure_features(site, ["row_id"])
+
+    out = (
+        row.join(bases, SEGMENT_KEY)
+        .join(hits, "precursor_id")
+        .join(hairpin_columns(row), "row_id")
+        .join(shapes, "row_id")
+    )
     # known loci may repeat a contig, and then repeat its rows, so they come last
-    return segments.annotate_reference(out.withColumn("CONTIG", contig_name(F.col("chr"), F.col("tile"))), loci)
+    return segments.annotate_reference(structures.effector_kmer_table(out).drop("row_id", "precursor_id"), loci)
