@@ -267,7 +267,7 @@ SELECT *, row_number() OVER (PARTITION BY precursor_id ORDER BY best_sum DESC, p
     LEFT JOIN sums b ON b.precursor_id = st.precursor_id AND b.place = st.p + st.l - 1))
   GROUP BY precursor_id, p)""")
 # starts proposed by a stand-in classifier
-view("proposed", ["indications"], "SELECT DISTINCT precursor_id, pos AS p FROM indications WHERE score > 100 AND precursor_id % 4 <> 0")
+view("proposed", ["indications"], "SELECT DISTINCT precursor_id, pos AS p FROM indications WHERE score > 200")
 view("recommended", ["ranked", "proposed"], """
 SELECT * FROM (SELECT r.*, pr.p IS NOT NULL AS predicted,
     row_number() OVER (PARTITION BY r.precursor_id ORDER BY pr.p IS NOT NULL DESC, r.rnk) AS place_in_list,
@@ -281,8 +281,7 @@ def _first(t: Tables) -> DataFrame:
 
 
 def _proposed(t: Tables) -> DataFrame:
-    said = (F.col("score") > 100) & (F.col("precursor_id") % 4 != 0)
-    classified = t.indications().withColumns({"Predicted_Class": said, "dist_5p": F.col("pos")})
+    classified = t.indications().withColumns({"Predicted_Class": F.col("score") > 200, "dist_5p": F.col("pos")})
     return tables.predicted_positions(classified, "precursor_id", offset=0)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from ..functions import sequence, structure
 from ..operators import hairpin, overlap, segments, structures, targets
 from ..plans import features
 from .fixtures import TILE, Tables
-from .registry import query, view
-from .segments import pct
+from .registry import QUERIES, VIEWS, query, view
+from .segments import VOTE_SQL, pct
 
 
 def sql_revcomp(s: str) -> str:
@@ -229,8 +231,8 @@ SELECT seq_id, shift, CASE WHEN shift < 0 THEN start ELSE start - shift END AS b
   length(fold) AS n, length(fold) AS size_fold
 FROM (SELECT *, unnest([-1, 0, 1, 2]) AS shift FROM site WHERE start >= 0)""")
 view("armpairs", ["arms", "partners"], """
-SELECT a.seq_id, a.shift, a.beg, a.fin, a.n, a.i, p.partner
-FROM (SELECT *, unnest(range(beg, fin + 1)) AS i FROM arms WHERE beg >= 0 AND fin < n) a
+SELECT a.seq_id, a.shift, a.beg, a.fin, a.n, a.i, CASE WHEN a.i >= a.n THEN 0 ELSE p.partner END AS partner
+FROM (SELECT *, unnest(range(beg, fin + 1)) AS i FROM arms WHERE shift < 0 OR (beg >= 0 AND fin < n)) a
 LEFT JOIN partners p ON p.seq_id = a.seq_id AND p.place = a.i""")
 view("armstats", ["armpairs"], """
 SELECT s.*, coalesce(g.gap, 0) AS gap, coalesce(x.asym, 0) AS asym
@@ -385,10 +387,56 @@ def _(t: Tables) -> DataFrame:
     return features.with_fold(t.folds().select("seq_id", "precursor"), {"precursor": "fold"}, mirror_fold())
 
 
+# the same chain of views over the folded segments; a row has three folds, told apart by ``kind``
+view("g_site", ["segseq"], """
+SELECT *, substr(precursor, a + 1, b - a) AS site_seq, substr(fold, a + 1, b - a) AS site_fold
+FROM (SELECT *, greatest(start - 4, 0) AS a, least(start + length(eff_seq) + 4, length(precursor)) AS b,
+        concat_ws('|', library, chr, tile, eff_pos, kind) AS seq_id,
+        h || repeat('.', length(precursor) - 2 * length(h)) || reverse(replace(h, '(', ')')) AS fold
+      FROM (SELECT *, translate(substr(precursor, 1, (length(precursor) - 5) // 2), 'ACGT', '(((.') AS h
+            FROM (SELECT library, chr, tile, eff_pos, eff_seq, precursor, dist_5p AS start, '' AS kind FROM segseq
+                  UNION ALL SELECT library, chr, tile, eff_pos, eff_seq, precursor_200_500, 200, '25' FROM segseq
+                  UNION ALL SELECT library, chr, tile, eff_pos, eff_seq, precursor_500_200, 500, '52' FROM segseq)))""")
+view("g_targets", ["g_site"], "SELECT seq_id AS doc_id, precursor AS s FROM g_site WHERE kind = ''")
+_CHAIN = ["bulges", "letters", "partners", "arms", "armpairs", "armstats", "calls_def", "stars_def", "passed_def", "runs"]
+_BASES = {"site": "g_site", "folds": "g_site", "bothstrands": "g_targets"}
+
+
+def _over_segments(sql: str) -> str:
+    for old, new in {**{n: f"g_{n}" for n in _CHAIN}, **_BASES}.items():
+        sql = re.sub(rf"\b{old}\b", new, sql)
+    return sql
+
+
+for _n in _CHAIN:
+    _needs, _sql = VIEWS[_n]
+    view(f"g_{_n}", [_over_segments(x) for x in _needs], _over_segments(_sql))
+view("g_hits", ["g_targets", "g_runs"], _over_segments(QUERIES["best_any_two_hit"].sql))
+view("g_hairpin", ["g_calls_def", "g_passed_def"], _over_segments(_hairpin_sql("def", hairpin.PROFILES["def"])))
+
+
 @query("segment_features", "library string, chr string, tile long, eff_pos long, eff_seq string, precursor string, "
-       "vote int, total_frq_DicerCall long, GC% double, 5p1A double, md5T double, best_query string, best_score double, anyhit string, "
-       "hairpin_conclu string, hairpin_conclu25 string, hairpin_conclu52 string, Literature boolean, eff5p1 string, "
-       "paired_percentage double, occ_bulgeAllnt int, occ_loopAllnt int")
+       "vote int, total_frq_DicerCall long, GC% double, 5p1A double, md5T double, best_query string, best_score double, "
+       "anyhit string, hairpin_conclu string, fback_start int, fback_stop int, hairpin_conclu25 string, "
+       "hairpin_conclu52 string, Literature boolean, eff5p1 string, paired_percentage double, occ_bulgeAllnt int, "
+       "occ_loopAllnt int",
+       ["segseq", "tails", "comp", "slotcounts", "g_site", "g_hits", "g_hairpin", "g_bulges", "ref_loci"], f"""
+SELECT s.library, s.chr, s.tile, s.eff_pos, s.eff_seq, s.precursor, {VOTE_SQL} AS vote, c.tot AS "total_frq_DicerCall",
+  round({pct("(100 * c.ng)", "c.tot")} + {pct("(100 * c.nc)", "c.tot")}, 2) AS "GC%",
+  {pct('(100 * m."n5p1A")', "m.tot")} AS "5p1A", {pct('(100 * m."nmd5T")', "m.tot")} AS "md5T",
+  h.best_query, h.best_score, h.anyhit, p0.hairpin_conclu, p0.fback_start, p0.fback_stop,
+  p25.hairpin_conclu AS hairpin_conclu25, p52.hairpin_conclu AS hairpin_conclu52,
+  r.CONTIG_literature_seen IS NOT NULL AS "Literature", s.eff_seq[1:1] AS eff5p1,
+  b.paired AS paired_percentage,
+  CASE WHEN b.start < 0 THEN -1 ELSE length(b.bl) END AS "occ_bulgeAllnt",
+  CASE WHEN b.start < 0 THEN -1 ELSE length(b.ll) END AS "occ_loopAllnt"
+FROM segseq s JOIN tails t USING (library, chr, tile, eff_pos)
+JOIN comp c USING (library, chr, tile, eff_pos) JOIN slotcounts m USING (library, chr, tile, eff_pos)
+JOIN (SELECT library, chr, tile, eff_pos, seq_id FROM g_site WHERE kind = '') k USING (library, chr, tile, eff_pos)
+JOIN g_hits h ON h.doc_id = k.seq_id JOIN g_hairpin p0 ON p0.seq_id = k.seq_id
+JOIN g_hairpin p25 ON p25.seq_id = k.seq_id || '25' JOIN g_hairpin p52 ON p52.seq_id = k.seq_id || '52'
+JOIN (SELECT *, {PAIRED} AS paired FROM g_bulges) b ON b.seq_id = k.seq_id
+LEFT JOIN ref_loci r ON r.CONTIG_literature_seen = s.chr || '__' || s.tile || '_' || (s.tile + 5250)""")
 def _(t: Tables) -> DataFrame:
     return features.segment_features(
         t.alignments(), t.genome_tiles(), TILE, t.queries21(), "ath", t.ref_loci(), mirror_fold()

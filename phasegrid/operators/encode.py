@@ -56,12 +56,18 @@ def quantile_scaled(x: Column, knots: list[float]) -> Column:
     return expr
 
 
+# every category becomes a column, so more than this cannot be a feature table
+MAX_CATEGORIES = 20_000
+
+
 def fit_categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """The categories of every column, sorted."""
+    """The categories of every column, sorted; an error where there are too many to be columns."""
     if not columns:
         return {}
     pairs = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat")) for c in columns]
-    rows = df.select(F.inline(F.array(*pairs))).distinct().collect()
+    rows = df.select(F.inline(F.array(*pairs))).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}")
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         if r["cat"] is not None:
