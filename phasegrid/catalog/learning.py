@@ -116,22 +116,18 @@ def _(t: Tables) -> DataFrame:
     return evaluation.class_balance(t.features(), "consistent")
 
 
-PROFILED = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_shipdate"]
+view("vals", ["reads"], """
+SELECT DISTINCT feature, v FROM (UNPIVOT (SELECT library, chr, CAST(flag AS VARCHAR) AS flag, CAST(len AS VARCHAR) AS len,
+  CAST(pos AS VARCHAR) AS pos FROM reads) ON library, chr, flag, len, pos INTO NAME feature VALUE v)""")
 
 
-@query("profile_columns", "feature string, n_distinct long, examples string, max_value string, min_value string", [], """
-WITH vals AS (SELECT DISTINCT feature, v FROM (UNPIVOT (SELECT library, chr, CAST(flag AS VARCHAR) AS flag, CAST(len AS VARCHAR) AS len,
-    CAST(pos AS VARCHAR) AS pos FROM reads) ON library, chr, flag, len, pos INTO NAME feature VALUE v))
+@query("profile_columns", "feature string, n_distinct long, examples string, max_value string, min_value string", ["vals"], """
 SELECT feature, count(*) AS n_distinct, array_to_string(list_slice(list(v ORDER BY v), 1, 3), ',') AS examples,
-  max(v) AS max_value, min(v) AS min_value FROM vals GROUP BY feature""".replace("WITH vals AS (", "SELECT * FROM (WITH vals AS (").replace("GROUP BY feature", "GROUP BY feature) z"))
+  max(v) AS max_value, min(v) AS min_value FROM vals GROUP BY feature""")
 def _(t: Tables) -> DataFrame:
     return evaluation.profile(t.reads(), ["library", "chr", "flag", "len", "pos"])
 
 
-from .registry import QUERIES  # noqa: E402
-
-QUERIES["profile_columns"].needs = ["reads"]
-
 view("judged", ["features"], "SELECT *, n_gc * 2 > n_letters AS hit, n_gc / n_letters AS score FROM features")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rounding
 from ..operators import evaluation, genome, overlap, segments, significance, tables, tiling
 from ..params import CONTIG_KEYS
 from ..plans import features, phasing
+from ..session import stored
 from .fixtures import TILE, Tables
 from .registry import query, view
 
@@ -49,6 +49,11 @@ def _segs(t: Tables) -> DataFrame:
     return segments.consolidate(phasing.phased_windows(t.reads()))
 
 
+def _stored_segs(t: Tables) -> DataFrame:
+    """Written once, for operators that go over the segments several times."""
+    return stored(_segs(t), "segments")
+
+
 @query("consolidate_segments", SEG_COLS, ["segs"], "SELECT * FROM segs")
 def _(t: Tables) -> DataFrame:
     return _segs(t)
@@ -125,7 +130,7 @@ def _(t: Tables) -> DataFrame:
 @query("consistent_label", f"{K}, eff_pos long, eff_seq string, consistent boolean", ["segseq"], """
 SELECT *, count(DISTINCT library) OVER (PARTITION BY eff_seq) >= 2 AS consistent FROM segseq""")
 def _(t: Tables) -> DataFrame:
-    return segments.consistent_label(features.with_sequences(_segs(t), t.genome_tiles(), TILE))
+    return segments.consistent_label(features.with_sequences(_stored_segs(t), t.genome_tiles(), TILE))
 
 
 view("bh", ["segs"], """
@@ -143,7 +148,7 @@ FROM (SELECT *, pval_b * m2 / rnk2 AS raw2 FROM (SELECT *, count(*) OVER (PARTIT
 @query("fdr_bh", f"{K}, eff_pos long, pval_fdr double, pval_accept boolean, pvalb_fdr double, pvalb_accept boolean",
        ["bh2"], "SELECT * FROM bh2")
 def _(t: Tables) -> DataFrame:
-    out = significance.benjamini_hochberg(_segs(t), ["library"], "pval", "pval_fdr", "pval_accept")
+    out = significance.benjamini_hochberg(_stored_segs(t), ["library"], "pval", "pval_fdr", "pval_accept")
     return significance.benjamini_hochberg(out, ["library"], "pval_b", "pvalb_fdr", "pvalb_accept")
 
 
@@ -198,12 +203,12 @@ VOTE_SQL = " + ".join(f"coalesce((round({c}, 9) < 0.05)::INT, 0)" for c in TAILS
 
 @query("gamma_tail", f"{K}, eff_pos long, " + ", ".join(f"{c} double" for c in TAILS), ["tails"], "SELECT * FROM tails")
 def _(t: Tables) -> DataFrame:
-    return significance.gamma_tails(_segs(t), ["library"])
+    return significance.gamma_tails(_stored_segs(t), ["library"])
 
 
 @query("retained_vote", f"{K}, eff_pos long, vote int", ["tails"], f"SELECT *, {VOTE_SQL} AS vote FROM tails")
 def _(t: Tables) -> DataFrame:
-    return significance.vote(significance.gamma_tails(_segs(t), ["library"]), TAILS)
+    return significance.vote(significance.gamma_tails(_stored_segs(t), ["library"]), TAILS)
 
 
 @query("phased_segments", SEG_COLS + ", pval_fdr double, pval_accept boolean, pvalb_fdr double, pvalb_accept boolean, "
@@ -219,7 +224,7 @@ SELECT feature, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v)
 FROM (UNPIVOT (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in MAXIMA + ['L_bound', 'pval', 'pval_b', 'eff_pos'])} FROM segs WHERE k > 2)
       ON {', '.join(MAXIMA + ['L_bound', 'pval', 'pval_b', 'eff_pos'])} INTO NAME feature VALUE v) GROUP BY feature""")
 def _(t: Tables) -> DataFrame:
-    kept = _segs(t).filter(F.col("k") > 2)
+    kept = _stored_segs(t).filter(F.col("k") > 2)
     return evaluation.describe(kept, MAXIMA + ["L_bound", "pval", "pval_b", "eff_pos"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence, structure
-from ..operators import hairpin, overlap, segments, structures, targets
+from ..operators import hairpin, segments, structures, targets
 from ..plans import features
 from .fixtures import TILE, Tables
 from .registry import QUERIES, VIEWS, query, view
