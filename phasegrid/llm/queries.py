@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, pii, token_counts
 from . import quality_rules as rules
 from .common import table
 
+#: the tokenizer of the queries
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def _rules_sql(r: rules.Rules) -> str:
     """Divergence rules over the documents in DuckDB, written from the definition and not from the plan."""
     words = ", ".join(f"('{lang}', {list(ws)}, {[x / 100 for x in ws.values()]})" for lang, ws in r.references.items())
@@ -86,3 +96,31 @@ FROM judged"""
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+@query("op5_bpe_round_trip")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return pii.find_pii(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[pii.count_kind(spans, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.listed(spans, pii.BASE).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(spans, pii.KINDS).alias("spans"),
+    )
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
