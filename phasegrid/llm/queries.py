@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, ppm, simhash, token_counts
+from . import bpe, mixing, pii, ppm, quality_classifier, simhash, token_counts
 from . import quality_rules as rules
 from .common import table
 
@@ -135,3 +135,57 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ppm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents")).select("doc_id", "kept", "score", "label")
+
+
+def _mix_sql(m: mixing.Mix) -> str:
+    """The same draw in DuckDB: a recursive bisection and one window over each source."""
+    power = "list_sum(list_transform(l, lambda x: pow(x, {a})))"
+    entropy = f"ln({power}) - {{a}} * list_sum(list_transform(l, lambda x: pow(x, {{a}}) * ln(x))) / {power}"
+    repeats = f"list_max(list_transform(l, lambda x: pow(x, {{a}} - 1))) / {power} * {m.budget}"
+    entropic, repeated = f"({entropy}) >= {m.entropy} * ln(len(l))", f"({repeats}) > {m.max_repeats}"
+    middle = "((low + high) / 2)"
+    tree = """{name}(i, low, high, l) AS (
+  SELECT 0, CASE WHEN {at1} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE, l FROM shares
+  UNION ALL
+  SELECT i + 1, CASE WHEN {atm} THEN {m} ELSE low END, CASE WHEN {atm} THEN high ELSE {m} END, l FROM {name} WHERE i < {steps}
+)"""
+    trees = ", ".join(tree.format(name=n, at1=c.format(a="1.0"), atm=c.format(a=middle), m=middle, steps=mixing.STEPS)
+                      for n, c in (("entropic", entropic), ("repeated", repeated)))
+    return rf"""
+WITH RECURSIVE rows_of AS (
+  SELECT doc_id, source, coalesce('s' || source, 'null') AS key,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS n_tokens
+  FROM documents
+), totals AS (SELECT key, sum(n_tokens)::DOUBLE AS tokens FROM rows_of GROUP BY key HAVING sum(n_tokens) > 0),
+shares AS (SELECT list(tokens / (SELECT sum(tokens) FROM totals) ORDER BY key) AS l FROM totals),
+{trees},
+chosen AS (
+  SELECT greatest((SELECT low FROM entropic WHERE i = {mixing.STEPS}),
+                  (SELECT CASE WHEN low > 0 AND low < 1 THEN low + pow(2.0, -{mixing.STEPS}) ELSE low END FROM repeated WHERE i = {mixing.STEPS})) AS a
+), weights AS (
+  SELECT key, tokens, pow(tokens / sum(tokens) OVER (), a) / sum(pow(tokens / total, a)) OVER () AS weight
+  FROM (SELECT *, sum(tokens) OVER () AS total FROM totals), chosen
+), plan AS (
+  SELECT *, floor(quota / tokens)::BIGINT AS passes, (quota - floor(quota / tokens) * tokens)::BIGINT AS rest
+  FROM (SELECT *, floor(weight * {m.budget} * (SELECT sum(tokens) FROM totals)) AS quota FROM weights)
+), laid AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY key, epoch ORDER BY hash, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS last
+  FROM (SELECT *, md5('{m.seed}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || epoch) AS hash
+        FROM (SELECT r.*, p.tokens, p.passes, p.rest, p.weight, unnest(range(0, p.passes + 1)) AS epoch FROM rows_of r JOIN plan p USING (key)))
+), placed AS (
+  SELECT *, floor((epoch * tokens + last - n_tokens) / greatest(1, ceil(weight * {m.block_tokens})))::BIGINT AS block
+  FROM laid WHERE epoch < passes OR last <= rest
+)
+SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens, block,
+       row_number() OVER (PARTITION BY block ORDER BY md5(hash || '|block'), doc_id, n_tokens, key) - 1 AS place
+FROM placed"""
+
+
+@query("op10_mixing", _mix_sql(mixing.Mix()))
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(table(spark, sf_dir, "documents"))
