@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, ppm, quality_classifier, simhash, token_counts
+from . import bpe, mixing, pii, ppm, quality_classifier, simhash, token_counts, topk
 from . import quality_rules as rules
 from .common import table
 
@@ -159,7 +159,8 @@ def _mix_sql(m: mixing.Mix) -> str:
     return rf"""
 WITH RECURSIVE rows_of AS (
   SELECT doc_id, source, coalesce('s' || source, 'null') AS key,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS n_tokens
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '')) AS n_tokens
   FROM documents
 ), totals AS (SELECT key, sum(n_tokens)::DOUBLE AS tokens FROM rows_of GROUP BY key HAVING sum(n_tokens) > 0),
 shares AS (SELECT list(tokens / (SELECT sum(tokens) FROM totals) ORDER BY key) AS l FROM totals),
@@ -189,3 +190,21 @@ FROM placed"""
 @query("op10_mixing", _mix_sql(mixing.Mix()))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(table(spark, sf_dir, "documents"))
+
+
+@query("op2_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
