@@ -148,3 +148,11 @@ def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col:
     block = F.floor(F.col("start") / F.greatest(F.lit(1), F.ceil(F.col("weight") * mix.block_tokens))).cast("bigint")
     shuffled = Window.partitionBy("block").orderBy(F.md5(F.concat(F.col("hash"), F.lit("|block")).cast("binary")), "doc_id", "n_tokens", "key")
     return start.withColumn("block", block).select("doc_id", "source", "epoch", "n_tokens", "block", (F.row_number().over(shuffled) - 1).cast("bigint").alias("place"))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The columns of documents, a row for each drawn copy; which rows are drawn is decided on numbers alone."""
+    rows = store(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    narrow = rows.select("row", "source", word_count(F.col("text")).alias("n"))
+    copies = draw(narrow, mix, id_col="row", tokens=F.col("n")).select(F.col("doc_id").alias("row"))
+    return rows.join(copies, "row").drop("row")

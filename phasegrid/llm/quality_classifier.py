@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, store
+from .common import DOCUMENT_COLUMNS, id_text, map_rows, store
 from .quality_rules import COMMON_WORDS
 
 LABELLERS = ("symbols", "capitals", "variety", "common", "odd", "lines")
@@ -179,15 +179,28 @@ def fit_scorer(at: list[list[int]], value: list[list[float]], target: np.ndarray
     return weights
 
 
-def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, label, score, kept) of every row: posterior of the weak labels, the scorer's probability of good, verdict.
+@dataclass
+class Scorer:
+    """A fitted model: weights of the used buckets (at most BUCKETS), and the posterior of each vote pattern seen."""
 
-    A null text is an empty one, which its own labeller calls bad. Equal texts
-    score alike; repeated rows and null ids stay rows of their own; other columns
-    go. Empty tables give empty tables.
-    """
-    spark = docs.sparkSession
-    seen = store(described(docs, id_col, text_col), "described")
+    places: np.ndarray
+    weights: np.ndarray
+    labels: dict
+
+    def dense(self) -> np.ndarray:
+        full = np.zeros(BUCKETS)
+        full[self.places] = self.weights
+        return full
+
+
+def score(full: np.ndarray, at: list[int], value: list[float]) -> float:
+    """The probability of good from hashed features."""
+    # features are kept as single floats wherever they are stored
+    return float(1 / (1 + np.exp(-np.clip(full[at] @ np.asarray(value, np.float32), -50, 50))))
+
+
+def fit(seen: DataFrame, settings: Settings = Settings()) -> Scorer:
+    """Label model over all rows of ``described`` documents, scorer over about ``fit_rows`` of them."""
     # at most 3 ** 6 patterns
     votes = [tuple(r) for r in seen.groupBy("votes").count().collect()]
     patterns = np.array([v for v, _ in votes], np.int64).reshape(len(votes), len(LABELLERS))
@@ -201,20 +214,56 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     target = np.array([label[tuple(r.votes)] for r in rows])
     weights = fit_scorer([r.at for r in rows], [r.value for r in rows], target, settings.fit_rounds, settings.penalty)
     used = np.flatnonzero(weights)
-    # at most BUCKETS weights
-    sent = spark.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float64), label))
+    return Scorer(used.astype(np.int32), weights[used], label)
+
+
+def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, label, score, kept) of every row: posterior of the weak labels, the scorer's probability of good, verdict.
+
+    A null text is an empty one, which all labellers call bad. Equal texts
+    score alike; repeated rows and null ids stay rows of their own; other columns
+    go. Empty tables give empty tables.
+    """
+    seen = store(described(docs, id_col, text_col), "described")
+    sent = docs.sparkSession.sparkContext.broadcast(fit(seen, settings))
 
     def make():
-        places, w, label_of = sent.value
-        full = np.zeros(BUCKETS)
-        full[places] = w
+        scorer = sent.value
+        full = scorer.dense()
 
         def step(rows):
-            scores = [float(1 / (1 + np.exp(-np.clip(full[a] @ np.asarray(v), -50, 50)))) for a, v in zip(rows["at"], rows["value"], strict=True)]
-            return {"doc_id": rows["doc_id"], "label": [label_of[tuple(v)] for v in rows["votes"]], "score": scores,
+            scores = [score(full, a, v) for a, v in zip(rows["at"], rows["value"], strict=True)]
+            return {"doc_id": rows["doc_id"], "label": [scorer.labels[tuple(v)] for v in rows["votes"]], "score": scores,
                     "kept": [s >= settings.threshold for s in scores]}
 
         return step
 
     arrow = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
     return map_rows(seen, make, "doc_id bigint, label double, score double, kept boolean", arrow)
+
+
+def good_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The columns of documents for the rows that ``classify`` keeps, untouched.
+
+    The model is fitted on one pass over the texts and applied in a second one,
+    so whole rows are never shuffled or joined.
+    """
+    fitted = fit(store(described(docs), "described"), settings)
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def make():
+        full = sent.value.dense()
+
+        def step(rows):
+            keep = []
+            for i, t in enumerate(rows["text"]):
+                _, at, value = describe(t or "")
+                if score(full, at, value) >= settings.threshold:
+                    keep.append(i)
+            return {c: [v[i] for i in keep] for c, v in rows.items()}
+
+        return step
+
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    narrow = docs.select(*[F.col(c).cast(k).alias(c) for c, k in DOCUMENT_COLUMNS.items()])
+    return map_rows(narrow, make, ", ".join(f"{c} {k}" for c, k in DOCUMENT_COLUMNS.items()), pa.schema([(c, kinds[k]) for c, k in DOCUMENT_COLUMNS.items()]))

@@ -98,18 +98,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
-@query("op5_bpe_round_trip")
-def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.decode(encoded, path).select(
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Token number and digests of decoded documents."""
+    return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
+@query("op5_bpe_round_trip")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    return digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")

@@ -118,3 +118,139 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, id_col:
 
 def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# Near copies by similarity: several fingerprints of a text's distinct words propose pairs, shingles decide.
+
+#: fingerprints of a text; each half of each is a table of anchors
+TABLES = 4
+#: share of fingerprint bits that a pair may differ in and still be compared by its shingles
+MOST_DIFFERING = 0.18
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for fingerprint ``k`` from one hash of the word, by two rounds of multiply and shift."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: str) -> tuple[bytes, list[int]]:
+    """(128-bit hash of the word sequence, TABLES fingerprints of the distinct words)."""
+    w = text.encode().lower().split()
+    own = xxhash.xxh3_128_digest(b" ".join(w))
+    kinds = list(set(w))
+    counts = np.zeros((TABLES, 64), np.int64)
+    for at in range(0, len(kinds), SLICE):
+        part = kinds[at:at + SLICE]
+        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in part), np.uint64, len(part))
+        for k in range(TABLES):
+            counts[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(kinds), axis=1, bitorder="little")
+    return own, bits.view(np.int64).reshape(-1).tolist()
+
+
+def shingle_set(text: str, words: int) -> list[int]:
+    """Distinct 32-bit hashes of the shingles; fewer words are one shingle, none give none."""
+    w = text.encode().lower().split()
+    if len(w) < words:
+        shingles = [b" ".join(w)] if w else []
+    else:
+        shingles = map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in shingles), np.uint32)).view(np.int32).tolist()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have that Jaccard similarity."""
+    asked = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
+
+    def make():
+        return lambda rows: {"row": rows["row"], "set": [shingle_set(t, words) for t in rows["text"]]}
+
+    arrow = pa.schema([("row", pa.int64()), ("set", pa.list_(pa.int32()))])
+    sets = map_rows(texts.select("row", "text").join(asked, "row", "left_semi"), make, "row bigint, set array<int>", arrow)
+    sets = store(sets, "shingles")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(
+        sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return store(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+
+
+def _far(x, y):
+    return sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(TABLES)) > int(MOST_DIFFERING * 64 * TABLES)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): the stored rows of ``docs`` with a ``row`` number, and (row, keep) of every row.
+
+    Rows with the same words are copies; different texts link if their shingle
+    sets are similar; linked rows are a group, and ``keep`` is the row number of
+    its smallest id (null ids last, then the smaller row number). A text without
+    words is a copy of any other such text, and links to none else. Candidates are
+    texts of which a half fingerprint differs in one bit at most: first each is
+    compared with the smallest text at home at its anchors, which ties most
+    of a large group together; then those at home with the visitors of their
+    anchors, where both are not in one group yet.
+    """
+    rows = store(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("row", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("bigint").alias("id"))
+
+    def make():
+        def step(part):
+            own, fps = zip(*map(sketch, part["text"]), strict=True)
+            return {"row": part["row"], "id": part["id"], "own": list(own), "fps": list(fps)}
+
+        return step
+
+    arrow = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("own", pa.binary()), ("fps", pa.list_(pa.int64()))])
+    sketches = store(map_rows(texts.select("row", "id", "text"), make, "row bigint, id bigint, own binary, fps array<bigint>", arrow), "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    classes = store(sketches.groupBy("own").agg(first, F.any_value("fps").alias("fps")).select("own", "first", F.col("first.row").alias("row"), "fps"), "classes")
+    fps = F.col("fps")
+    halves = F.array(*[F.struct(F.lit(2 * t + k).alias("table"), _half(fps[t], k).alias("x")) for t in range(TABLES) for k in (0, 1)])
+    spread = classes.select("row", "fps", F.explode(halves).alias("h")).select("row", "fps", "h.table", "h.x").withColumn("s", _syndrome(F.col("x")).cast("int"))
+    home = F.col("x").bitwiseXOR(_flip(F.col("s")))
+    sketch_of = classes.select("row", "fps")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole fingerprints are close enough."""
+        met = pairs.join(sketch_of.select(F.col("row").alias("a"), F.col("fps").alias("fa")), "a").join(
+            sketch_of.select(F.col("row").alias("b"), F.col("fps").alias("fb")), "b")
+        return store(met.filter(~_far(F.col("fa"), F.col("fb"))).select("a", "b"), "candidates")
+
+    # first pass: one comparison for each text at most
+    at_home = spread.select("row", F.col("table"), home.alias("anchor"))
+    leader = at_home.groupBy("table", "anchor").agg(F.min("row").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    led = at_home.join(leader, ["table", "anchor"]).groupBy("row").agg(F.min("leader").alias("a")).filter("a <> row")
+    links = _similar(close(led.select("a", F.col("row").alias("b"))), texts, words, similarity)
+    grouped = store(components(links, "a", "b"), "groups")
+    # second pass: all that meet at an anchor and are not in one group; the group goes along as 32 bits of hash
+    marked = spread.join(grouped.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "mark", F.shiftleft(F.hash(F.coalesce("component", "row")).cast("bigint"), BITS).bitwiseOR(F.col("x")))
+    place = F.explode(F.expr(f"if(s = 0, array(0), filter(sequence(0, {BITS}), i -> i < (i ^ s)))"))
+    visits = marked.select("row", "table", "x", "s", "mark", place.alias("i"))
+    anchor = F.col("x").bitwiseXOR(_flip(F.col("i"))).bitwiseXOR(_flip(F.col("i").bitwiseXOR(F.col("s"))))
+
+    def key(at):
+        return F.shiftleft(F.col("table").cast("bigint"), 32).bitwiseOR(at)
+
+    met = marked.select(key(home).alias("key"), F.col("row").alias("a"), F.col("mark").alias("ma")).join(
+        visits.select(key(anchor).alias("key"), F.col("row").alias("b"), F.col("mark").alias("mb")), "key")
+    differ = F.col("ma").bitwiseXOR(F.col("mb"))
+    low = F.lit((1 << BITS) - 1)
+    met = met.filter((F.col("a") < F.col("b")) & (F.bit_count(differ.bitwiseAND(low)) <= 1) & (F.shiftright(F.col("ma"), BITS) != F.shiftright(F.col("mb"), BITS)))
+    more = _similar(close(met.select("a", "b").distinct()), texts, words, similarity)
+    final = components(links.unionAll(more), "a", "b")
+    named = classes.join(final.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    kept = named.groupBy("component").agg(F.min("first").alias("best")).select("component", F.col("best.row").alias("keep"))
+    groups = sketches.select("row", "own").join(named.select("own", "component"), "own").join(kept, "component").select("row", "keep")
+    return rows, groups
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: see ``near_copies``."""
+    rows, groups = near_copies(docs, words, similarity, id_col, text_col)
+    stays = groups.filter("row = keep").select("row")
+    return rows.join(stays, "row", "left_semi").drop("row")
