@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,55 +59,58 @@ def _sequences(texts: list[bytes], order: int) -> np.ndarray:
     return packed[inside]
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end]) <= SLICE_BYTES):
-            total += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+_PACK = "chunk bigint, doc_id array<bigint>, held_out array<boolean>, size array<bigint>, texts binary"
+_PACK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                         ("size", pa.list_(pa.int64())), ("texts", pa.binary())])
 
 
 def _chunked(docs: DataFrame, held_out: Column, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, doc_id, held_out, text) with lower-case texts; a chunk has consecutive rows of one task."""
+    """Lower-case texts in packs of some SLICE_BYTES, compressed; a chunk has consecutive packs of one task."""
     narrow = id_text(docs, id_col, text_col).withColumn("held_out", held_out)
-    arrow = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary())])
 
     def run(batches):
-        chunk, total = TaskContext.get().partitionId() << 32, 0
+        chunk, total, held = TaskContext.get().partitionId() << 32, 0, []
+        compress = zstandard.ZstdCompressor(level=3).compress
+
+        def pack():
+            ids, flags, texts = zip(*held, strict=True)
+            return pa.RecordBatch.from_pydict({
+                "chunk": [chunk], "doc_id": [list(ids)], "held_out": [list(flags)], "size": [[len(t) for t in texts]],
+                "texts": [compress(b"".join(texts))]}, schema=_PACK_ARROW)
+
+        slice_bytes, pending = min(SLICE_BYTES, chunk_bytes), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256).to_pydict()
-                texts = [t.encode().lower() for t in rows["text"]]
-                chunks = []
-                for t in texts:
-                    if total and total + len(t) > chunk_bytes:
-                        chunk, total = chunk + 1, 0
-                    total += len(t) + 1
-                    chunks.append(chunk)
-                yield pa.RecordBatch.from_pydict(rows | {"chunk": chunks, "text": texts}, schema=arrow)
+                for i, h, t in zip(rows["doc_id"], rows["held_out"], rows["text"], strict=True):
+                    t = t.encode().lower()
+                    if held and pending + len(t) > slice_bytes:
+                        yield pack()
+                        total, held, pending = total + pending, [], 0
+                        if total + len(t) > chunk_bytes:
+                            chunk, total = chunk + 1, 0
+                    held.append((i, h, t))
+                    pending += len(t) + 1
+        if held:
+            yield pack()
+
+    return narrow.mapInArrow(run, _PACK)
+
 
-    return narrow.mapInArrow(run, "chunk bigint, doc_id bigint, held_out boolean, text binary")
+def _unpacked(row: dict) -> list[bytes]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(row["texts"]), 0, []
+    for n in row["size"]:
+        out.append(data[at:at + n])
+        at += n
+    return out
 
 
 def _by_chunk(batches) -> Iterator[tuple[int, list[bytes], list[bool]]]:
-    """(chunk, texts, held out) in parts of SLICE_BYTES or so."""
-    chunk, texts, flags, total = None, [], [], 0
+    """(chunk, texts, held out) of each pack."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256).to_pydict()
-            for c, t, h in zip(rows["chunk"], rows["text"], rows["held_out"], strict=True):
-                if texts and (c != chunk or total + len(t) > SLICE_BYTES):
-                    yield chunk, texts, flags
-                    texts, flags, total = [], [], 0
-                chunk = c
-                texts.append(t)
-                flags.append(h)
-                total += len(t)
-    if texts:
-        yield chunk, texts, flags
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            yield row["chunk"], _unpacked(row), row["held_out"]
 
 
 def _sequence_counts(chunks: DataFrame, order: int) -> DataFrame:
@@ -218,20 +222,23 @@ def _scored(order: int):
         seq, cost = seq[by], cost[by]
         of_word = model.filter(pc.is_valid(model["word"]))
         word = dict(zip(of_word["word"].to_pylist(), of_word["value"].to_pylist(), strict=True))
-        rows = texts.select(["doc_id", "held_out", "text"]).to_pydict()
-        raw = rows.pop("text")
-        score = np.zeros(len(raw))
-        for a, b in _slices(raw):
-            found = cost[np.searchsorted(seq, _sequences(raw[a:b], order))]
-            size = np.fromiter((len(t) + 1 for t in raw[a:b]), np.int64, b - a)
-            score[a:b] = np.add.reduceat(found, np.cumsum(size) - size)
+        rows: dict[str, list] = {"doc_id": [], "held_out": []}
+        score: list[float] = []
         n_tokens, n_known, known = [], [], []
         end = END_WORD.encode()
-        for t in raw:
-            values = [v for v in map(word.get, [*t.split(), end]) if v is not None]
-            n_tokens.append(len(t.split()) + 1)
-            n_known.append(len(values))
-            known.append(float(np.sum(values)) if values else 0.0)
+        for pack in texts.to_pylist():
+            raw = _unpacked(pack)
+            rows["doc_id"] += pack["doc_id"]
+            rows["held_out"] += pack["held_out"]
+            found = cost[np.searchsorted(seq, _sequences(raw, order))]
+            size = np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw))
+            score += np.add.reduceat(found, np.cumsum(size) - size).tolist()
+            for t in raw:
+                words = [*t.split(), end]
+                values = [v for v in map(word.get, words) if v is not None]
+                n_tokens.append(len(words))
+                n_known.append(len(values))
+                known.append(float(np.sum(values)) if values else 0.0)
         return pa.Table.from_pydict(rows | {"n_tokens": n_tokens, "n_known": n_known, "known": known, "score": score}, schema=_RESULT_ARROW)
 
     return run
