@@ -36,10 +36,8 @@ class Tables:
     def docseq(self) -> DataFrame:
         s = self._nucleotides(F.col("text"))
         docs = self.read("documents").select("doc_id", "text")
-        # texts are few and costly: a file with fewer splits than cores is spread over them
-        cores = self.spark.sparkContext.defaultParallelism
-        if docs.rdd.getNumPartitions() < cores:
-            docs = docs.repartition(cores)
+        # texts are costly and a file may be one split: deal them out whatever its splits are
+        docs = docs.repartition("doc_id")
         return docs.select("doc_id", F.when(F.length(s) == 0, "ACGT").otherwise(s).alias("s"))
 
     def genome_tiles(self) -> DataFrame:

@@ -199,7 +199,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("train_test_split", "doc_id long, is_test boolean", ["features"],
-       "SELECT doc_id, (doc_id * 48271) % 1000 < 200 AS is_test FROM features")
+       "SELECT doc_id, doc_id % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647 / 2147483647.0::DOUBLE < 0.2 AS is_test FROM features")
 def _(t: Tables) -> DataFrame:
     train, test = models.split(t.features(), "doc_id")
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
@@ -400,11 +400,12 @@ def _(t: Tables) -> DataFrame:
 @query("train_single_models", "model string, fold int, metric string, value double")
 def _(t: Tables) -> DataFrame:
     vectors, _ = _vectors(t, ["fold"])
-    return models.cross_validate(vectors, models.single_models(forest_trees=10, gbt_rounds=3), folds=2)
+    learners = models.single_models(vectors.count() // 2, forest_trees=10, gbt_rounds=3)
+    return models.cross_validate(vectors, learners, folds=2)
 
 
 @query("cross_validate", "model string, metric string, mean double, std double")
 def _(t: Tables) -> DataFrame:
     vectors, _ = _vectors(t, ["fold"])
-    learners = {"logistic": models.single_models()["logistic"]}
+    learners = {"logistic": models.single_models(vectors.count() * 4 // 5)["logistic"]}
     return evaluation.cv_summary(models.cross_validate(vectors, learners))

@@ -181,14 +181,16 @@ SELECT library, feature, shape, pmean / shape AS scale FROM (
     lambda a, b: CASE WHEN a - (ln(a) - {_digamma('a')} - b) / (1 / a - {_trigamma('a')}) > 0
                       THEN a - (ln(a) - {_digamma('a')} - b) / (1 / a - {_trigamma('a')}) ELSE a / 2 END) AS shape
   FROM (SELECT library, feature, avg(v) FILTER (v > 0) AS pmean,
-          ln(avg(v) FILTER (v > 0)) - avg(CASE WHEN v > 0 THEN ln(v) END) AS s
-        FROM (UNPIVOT (SELECT library, Howell, Howellb, Guo, Guo_b, pval, pval_b FROM segs)
-              ON Howell, Howellb, Guo, Guo_b, pval, pval_b INTO NAME feature VALUE v) GROUP BY library, feature))""")
+          avg(CASE WHEN v > 0 THEN v / pm - 1 - ln(v / pm) END) AS s
+        FROM (SELECT *, avg(CASE WHEN v > 0 THEN v END) OVER (PARTITION BY library, feature) AS pm
+              FROM (UNPIVOT (SELECT library, Howell, Howellb, Guo, Guo_b, pval, pval_b FROM segs)
+                    ON Howell, Howellb, Guo, Guo_b, pval, pval_b INTO NAME feature VALUE v)) GROUP BY library, feature))""")
 
 
 def _cdf(c: str) -> str:
     a, z = f"a_{c}", f"({c} / b_{c})"
-    return f"""CASE WHEN {c} <= 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(range(0, 400),
+    return f"""CASE WHEN {c} <= 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(
+  range(0, CAST(ceil(greatest(0, {z} - {a}) + 12 * sqrt({a} + {z}) + 200) AS BIGINT)),
   lambda i: exp(({a} + i) * ln({z}) - {z} - lgamma({a} + i + 1))))) END"""
 
 
@@ -321,7 +323,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("drop_non_features", f"{K}, eff_pos long, k long, n long, n_all long, eff_frq long, ext_k long, length long, "
-       "pval double, pval_b double, contig_frq long", ["segs"], "SELECT * FROM segs")
+       "pval double, pval_b double", ["segs"], "SELECT * FROM segs")
 def _(t: Tables) -> DataFrame:
     kept = tables.drop_non_features(_segs(t).withColumnRenamed("chr", "chrom"))
     return kept.withColumnRenamed("chrom", "chr")

@@ -416,7 +416,7 @@ view("g_hairpin", ["g_calls_def", "g_passed_def"], _over_segments(_hairpin_sql("
 
 
 @query("segment_features", "library string, chr string, tile long, eff_pos long, eff_seq string, precursor string, "
-       "vote int, total_frq_DicerCall long, GC% double, 5p1A double, md5T double, best_query string, best_score double, "
+       "vote int, total_frq_DicerCall long, GC% double, 5p1A double, md5T double, Best_miR string, BestScore double, "
        "anyhit string, hairpin_conclu string, fback_start int, fback_stop int, hairpin_conclu25 string, "
        "hairpin_conclu52 string, Literature boolean, eff5p1 string, paired_percentage double, occ_bulgeAllnt int, "
        "occ_loopAllnt int",
@@ -424,7 +424,7 @@ view("g_hairpin", ["g_calls_def", "g_passed_def"], _over_segments(_hairpin_sql("
 SELECT s.library, s.chr, s.tile, s.eff_pos, s.eff_seq, s.precursor, {VOTE_SQL} AS vote, c.tot AS "total_frq_DicerCall",
   round({pct("(100 * c.ng)", "c.tot")} + {pct("(100 * c.nc)", "c.tot")}, 2) AS "GC%",
   {pct('(100 * m."n5p1A")', "m.tot")} AS "5p1A", {pct('(100 * m."nmd5T")', "m.tot")} AS "md5T",
-  h.best_query, h.best_score, h.anyhit, p0.hairpin_conclu, p0.fback_start, p0.fback_stop,
+  h.best_query AS "Best_miR", h.best_score AS "BestScore", h.anyhit, p0.hairpin_conclu, p0.fback_start, p0.fback_stop,
   p25.hairpin_conclu AS hairpin_conclu25, p52.hairpin_conclu AS hairpin_conclu52,
   r.CONTIG_literature_seen IS NOT NULL AS "Literature", s.eff_seq[1:1] AS eff5p1,
   b.paired AS paired_percentage,

@@ -149,7 +149,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("sample_contigs", f"{K}, n long", ["contig_reads"], """
 SELECT library, chr, tile, count(*) AS n FROM contig_reads
-WHERE (CAST(regexp_extract(chr, '([0-9]+)$', 1) AS BIGINT) * 7919 + tile // 5000 * 104729 + 12345) % 1000 < 500
+WHERE (CAST(regexp_extract(chr, '([0-9]+)$', 1) AS BIGINT) * 7919 + tile // 5000 * 104729 + 12345)
+  % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647 / 2147483647.0::DOUBLE < 0.5
 GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     kept = tiling.sample_contigs(tiling.assign_contigs(t.reads()), 0.5)

@@ -56,25 +56,33 @@ def quantile_scaled(x: Column, knots: list[float]) -> Column:
     return expr
 
 
-# every category becomes a column, so more than this cannot be a feature table
-MAX_CATEGORIES = 20_000
+def categories(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, cat) of every category of these columns, as a table."""
+    pairs = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat")) for c in columns]
+    return df.select(F.inline(F.array(*pairs))).filter(F.col("cat").isNotNull()).distinct()
 
 
 def fit_categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """The categories of every column, sorted; an error where there are too many to be columns."""
-    if not columns:
-        return {}
-    pairs = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat")) for c in columns]
-    rows = df.select(F.inline(F.array(*pairs))).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}")
+    """The categories of every column, sorted, for ``Encoder``, which makes a column of each.
+
+    A wide table is limited by its columns; ``one_hot_long`` is not.
+    """
     out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
-        if r["cat"] is not None:
-            out[r["col"]].append(r["cat"])
+    for r in categories(df, columns).collect() if columns else []:
+        out[r["col"]].append(r["cat"])
     return {c: sorted(v) for c, v in out.items()}
 
 
+def one_hot_long(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """(keep..., feature) of each 1 of the one-hot encoding, for any number of categories.
+
+    ``feature`` is named as the column of the wide form. Zeros are not rows.
+    """
+    pairs = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat")) for c in columns]
+    long = df.select(*keep, F.inline(F.array(*pairs))).filter(F.col("cat").isNotNull())
+    return long.select(*keep, F.concat_ws("_", "col", "cat").alias("feature"))
+
+
 @dataclass
 class Encoder:
     """Fitted numbers only, so it can be kept, reloaded and applied to any table."""

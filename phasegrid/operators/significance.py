@@ -81,10 +81,22 @@ def _sufficient(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 def gamma_fit(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Two-parameter maximum likelihood (location 0, zeros left out), one row per key and column.
 
-    Only the count, the mean and the mean logarithm are needed, so the data are
-    read once; the Newton steps run on one row per key and column.
+    ln(mean) - mean(ln x) is the mean of d - ln(1 + d) with d = x / mean - 1,
+    which has no cancelling terms; so the data are read twice, for the means and
+    for that. A constant column has no spread and gets no shape.
     """
-    stats = _sufficient(df, keys, columns).withColumn("_s", F.log("pmean") - F.col("plog"))
+    means = _sufficient(df, keys, columns).select(*keys, "feature", "pmean")
+    pick = [F.max(F.when(F.col("feature") == c, F.col("pmean"))).alias(f"_m_{c}") for c in columns]
+    wide = means.groupBy(*keys).agg(*pick)
+    joined = df.select(*keys, *columns).join(wide, keys)
+
+    def spread(c: str) -> Column:
+        d = (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_m_{c}")
+        return F.avg(F.when(F.col(c) > 0, d - F.log1p(d))).alias(f"_s_{c}")
+
+    spreads = joined.groupBy(*keys).agg(*[spread(c) for c in columns], *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in columns])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"_s_{c}").alias("_s"), F.col(f"_m_{c}").alias("pmean")) for c in columns]
+    stats = spreads.select(*keys, F.inline(F.array(*rows)))
     shape = special.gamma_shape(F.col("_s"))
     return stats.withColumn("shape", shape).select(*keys, "feature", "shape", (F.col("pmean") / F.col("shape")).alias("scale"))
 

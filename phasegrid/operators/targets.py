@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.sequence import reverse_complement
 
 MIN_LEN = 18
-BROADCAST_WORDS = 2_000_000
 
 
 def words(seq: Column, size: int) -> Column:
@@ -26,11 +25,6 @@ def of_species(queries: DataFrame, prefix: str) -> DataFrame:
     return queries.filter(F.col("name").startswith(prefix))
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when ``df`` is counted to be within ``max_rows``; else leave it be."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def target_runs(targets: DataFrame, queries: DataFrame, target_id: str, seq: str, min_len: int = MIN_LEN) -> DataFrame:
     """Maximal paired runs: (target, ordinal, name, r_start, r_end, q_start, score).
 
@@ -40,7 +34,6 @@ def target_runs(targets: DataFrame, queries: DataFrame, target_id: str, seq: str
     asked = queries.select(
         "ordinal", "name", F.posexplode(words(reverse_complement(F.col("seq")), min_len)).alias("q_at", "word")
     )
-    asked = broadcast_within(asked, BROADCAST_WORDS)
     scanned = targets.select(target_id, F.posexplode(words(F.upper(F.col(seq)), min_len)).alias("r_at", "word"))
     hits = scanned.join(asked, "word").withColumn("diagonal", F.col("r_at") - F.col("q_at"))
     line = Window.partitionBy(target_id, "ordinal", "diagonal").orderBy("r_at")

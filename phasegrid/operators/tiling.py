@@ -49,4 +49,14 @@ def sample_contigs(df: DataFrame, fraction: float, stride: int = STRIDE, seed: i
     """
     digits = F.regexp_extract("chr", "([0-9]+)$", 1).cast("long")
     number = F.coalesce(digits, F.length("chr").cast("long")) * 7919 + (F.col("tile") / stride).cast("long") * 104729
-    return df.filter(F.pmod(number + seed, F.lit(1000)) < int(round(fraction * 1000)))
+    return df.filter(key_share(number + seed) < fraction)
+
+
+#: a prime, so that multiples of a key go through all remainders
+_PRIME = 2147483647
+
+
+def key_share(number: Column) -> Column:
+    """A number in [0, 1) from a whole number, even over many keys and fine enough for any fraction."""
+    mixed = F.pmod(F.pmod(number, F.lit(_PRIME)) * 48271, F.lit(_PRIME))
+    return F.pmod(mixed * 69621, F.lit(_PRIME)) / F.lit(float(_PRIME))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import genome, hairpin, overlap, segments, significance, structures, targets
+from ..operators import genome, hairpin, overlap, segments, significance, structures, tables, targets
 from ..operators.tiling import contig_name
 from ..params import CONTIG_KEYS, CYCLE, DICER, DRIFT
 from ..session import stored
@@ -127,4 +127,5 @@ def segment_features(
         .join(shapes, "row_id")
     )
     # known loci may repeat a contig, and then repeat its rows, so they come last
-    return segments.annotate_reference(structures.effector_kmer_table(out).drop("row_id", "precursor_id"), loci)
+    annotated = segments.annotate_reference(structures.effector_kmer_table(out).drop("row_id", "precursor_id"), loci)
+    return annotated.withColumnsRenamed(tables.published_names(dicer))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
     Only where that setting is absent (tests, local runs) a fresh local folder
-    is made and remembered in the session.
+    is made and remembered in the session; with any other master that is an error,
+    as executors would not find what others wrote.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -38,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("phasegrid.local.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="phasegrid-")
         spark.conf.set("phasegrid.local.dir", folder)
     return folder

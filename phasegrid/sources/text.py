@@ -98,11 +98,13 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
 def drop_malformed(spark: SparkSession, path: str, header_prefix: str) -> DataFrame:
     """Lines of a tab-separated file with as many fields as its header line; ``value`` and ``n_fields``.
 
-    The header is the line that starts with ``header_prefix``; the expected
-    number is one value, looked up once and kept as a literal.
+    The header is the line that starts with ``header_prefix``, or the first line
+    where none does; the expected number is one value, looked up once and kept
+    as a literal. Of a file without lines nothing is kept.
     """
     lines = spark.read.text(path).withColumn("n_fields", F.size(F.split("value", "\t", -1)))
     head = lines.filter(F.col("value").startswith(header_prefix)).select("n_fields").first()
+    head = head or lines.select("n_fields").first()
     expected = head["n_fields"] if head else None
     return lines.filter(F.col("n_fields") == F.lit(expected).cast("int"))
 

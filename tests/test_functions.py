@@ -196,3 +196,59 @@ def test_roc_area_and_metrics(spark):
     r, zero = evaluation.confusion_metrics(counts).collect()
     assert (r["precision"], r["sensitivity"], r["acc"], r["f1"], r["mcc"]) == (1.0, 0.22, 0.929, 0.361, 0.452)
     assert (zero["precision"], zero["mcc"], zero["acc"]) == (0.0, 0.0, 0.0)
+
+
+def _normalised_integral(shape, x):
+    """P(shape, x) as a ratio of two Simpson sums of the density over twelve deviations."""
+    import numpy as np
+
+    sd = shape ** 0.5
+    low, high = max(shape - 14 * sd, shape * 1e-12), shape + 14 * sd
+
+    def total(a, b, n=400_001):
+        t = np.linspace(a, b, n)
+        mu = (t - shape) / shape
+        f = np.exp(-shape * (mu - np.log1p(mu)) - np.log(t / shape))
+        w = np.full(n, 2.0)
+        w[1::2] = 4.0
+        w[0] = w[-1] = 1.0
+        return float((f * w).sum() * (b - a) / (n - 1) / 3)
+
+    return total(low, min(max(x, low * 1.0000001), high)) / total(low, high)
+
+
+@pytest.mark.parametrize("shape", [60.0, 300.0, 501.0, 1e4, 1e6, 1e9])
+def test_gamma_tails_of_any_shape(spark, shape):
+    points = [shape + d * shape ** 0.5 for d in (-4.0, -1.5, -0.3, 0.0, 0.7, 2.0, 5.0)]
+    df = spark.createDataFrame([(x,) for x in points], "x double")
+    got = df.select(special.gamma_cdf(F.col("x"), F.lit(shape), F.lit(1.0))).collect()
+    for (g,), x in zip(got, points):
+        assert g == pytest.approx(_normalised_integral(shape, x), abs=2e-9)
+
+
+def test_gamma_fit_of_nearly_constant_and_constant_columns(spark):
+    from phasegrid.operators import significance
+
+    df = spark.createDataFrame([("a", 7.3, 5.0)] * 999 + [("a", 7.31, 5.0)], "library string, near double, same double")
+    fit = {r.feature: r for r in significance.gamma_fit(df, ["library"], ["near", "same"]).collect()}
+    spread = sum((v / m - 1) ** 2 for v, m in [(7.3, 7.30001)] * 999 + [(7.31, 7.30001)]) / 1000
+    assert fit["near"].shape == pytest.approx(1 / spread, rel=1e-2) and fit["same"].shape is None
+    tails = significance.gamma_tails(df, ["library"], ["near"], []).filter("near = 7.3").select("near_ccdf").first()
+    assert 0.4 < tails[0] < 0.6
+
+
+def test_fractions_below_a_thousandth(spark):
+    from phasegrid.learn import models
+    from phasegrid.operators import tiling
+
+    keys = spark.range(1_000_000).select("id", F.lit("chr1").alias("chr"), (F.col("id") * 5000).alias("tile"))
+    assert 280 <= tiling.sample_contigs(keys, 0.0004).count() <= 520
+    assert 280 <= models.split(keys, "id", 0.0004)[1].count() <= 520
+
+
+def test_one_hot_of_many_categories(spark):
+    from phasegrid.operators import encode
+
+    df = spark.range(30_000).select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"))
+    long = encode.one_hot_long(df, ["id"], ["name"])
+    assert long.count() == 30_000 and long.filter("id = 7").first().feature == "name_c7"
