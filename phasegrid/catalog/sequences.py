@@ -224,16 +224,17 @@ def _(t: Tables) -> DataFrame:
     return structures.pair_table(structures.balanced(t.folds()), "seq_id")
 
 
-# one arm = the letters beg..end of a fold; shift -1 is the site itself, 0..2 its extensions
+# one arm = the letters beg..end of a fold; shift -1 is the site itself, 0..2 its extensions;
+# a site that is not found begins at -1, the last letter
 view("arms", ["site"], """
 SELECT seq_id, shift, CASE WHEN shift < 0 THEN start ELSE start - shift END AS beg,
   CASE WHEN shift < 0 THEN start + length(eff_seq) ELSE start + length(eff_seq) + 2 - shift END AS fin,
   length(fold) AS n, length(fold) AS size_fold
-FROM (SELECT *, unnest([-1, 0, 1, 2]) AS shift FROM site WHERE start >= 0)""")
+FROM (SELECT *, unnest([-1, 0, 1, 2]) AS shift FROM site)""")
 view("armpairs", ["arms", "partners"], """
 SELECT a.seq_id, a.shift, a.beg, a.fin, a.n, a.i, CASE WHEN a.i >= a.n THEN 0 ELSE p.partner END AS partner
 FROM (SELECT *, unnest(range(beg, fin + 1)) AS i FROM arms WHERE shift < 0 OR (beg >= 0 AND fin < n)) a
-LEFT JOIN partners p ON p.seq_id = a.seq_id AND p.place = a.i""")
+LEFT JOIN partners p ON p.seq_id = a.seq_id AND p.place = CASE WHEN a.i < 0 THEN a.n + a.i ELSE a.i END""")
 view("armstats", ["armpairs"], """
 SELECT s.*, coalesce(g.gap, 0) AS gap, coalesce(x.asym, 0) AS asym
 FROM (SELECT seq_id, shift, any_value(beg) AS beg, any_value(fin) AS fin, any_value(n) AS n,
@@ -253,7 +254,7 @@ LEFT JOIN (SELECT seq_id, shift, sum(greatest((i - pi - 1) - (abs(partner - pp)
 
 
 def _paired_sites(t: Tables) -> DataFrame:
-    return structures.with_pairs(_site(t).filter(F.col("start") >= 0), "seq_id")
+    return structures.with_pairs(_site(t), "seq_id")
 
 
 @query("arm_statistics", "seq_id long, unpaired int, to_right int, to_left int, longest_gap int, asymmetry int, "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import structure as st
 from ..functions.sequence import effector_kmers
+from ..session import spread
 
 
 def structure_window(df: DataFrame, precursor: str = "precursor", fold: str = "fold", effector: str = "eff_seq") -> DataFrame:
@@ -82,9 +83,10 @@ def _partners(df: DataFrame, key: str, fold: str) -> DataFrame:
     """(key, place, partner) for every letter, 0-based; -1 for unpaired ones.
 
     On one nesting level opening and closing brackets alternate, so a bracket's
-    partner is simply its neighbour on that level.
+    partner is simply its neighbour on that level. The short rows are dealt by
+    key before they are cut into letters, so letters are never shuffled.
     """
-    letters = df.select(key, F.posexplode(F.split(F.col(fold), "")).alias("place", "ch")).filter(F.col("ch") != "")
+    letters = spread(df.select(key, fold), key).select(key, F.posexplode(F.split(F.col(fold), "")).alias("place", "ch")).filter(F.col("ch") != "")
     line = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("ch") == "(", 1).when(F.col("ch") == ")", -1).otherwise(0)
     level = F.sum(step).over(line) + F.when(F.col("ch") == ")", 1).otherwise(0)
