@@ -108,7 +108,8 @@ def quotas(totals: DataFrame, mix: Mix) -> DataFrame:
     all_tokens = float(row["t"] or 1)
     z = totals.agg(F.sum(F.pow(F.col("tokens") / all_tokens, F.lit(a)))).first()[0] or 1.0
     weight = F.pow(F.col("tokens") / all_tokens, F.lit(a)) / F.lit(float(z))
-    quota = F.floor(weight * F.lit(mix.budget * all_tokens)).cast("bigint")
+    # whole tokens; a thousandth lets products that are whole but for rounding stay whole
+    quota = F.floor(weight * F.lit(mix.budget * all_tokens) + 0.001).cast("bigint")
     return totals.withColumns({"weight": weight, "quota": quota}).withColumns({
         "passes": F.floor(F.col("quota") / F.col("tokens")).cast("bigint")}).withColumn(
         "rest", F.col("quota") - F.col("passes") * F.col("tokens"))

@@ -178,7 +178,7 @@ chosen AS (
   FROM (SELECT *, sum(tokens) OVER () AS total FROM totals), chosen
 ), plan AS (
   SELECT *, floor(quota / tokens)::BIGINT AS passes, (quota - floor(quota / tokens) * tokens)::BIGINT AS rest
-  FROM (SELECT *, floor(weight * {m.budget} * (SELECT sum(tokens) FROM totals)) AS quota FROM weights)
+  FROM (SELECT *, floor(weight * ({m.budget} * (SELECT sum(tokens) FROM totals)) + 0.001) AS quota FROM weights)
 ), laid AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY key, epoch ORDER BY hash, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS last
   FROM (SELECT *, md5('{m.seed}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || epoch) AS hash

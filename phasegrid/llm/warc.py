@@ -15,6 +15,7 @@ ranges, so no task holds all of them.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -78,12 +79,13 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
 
 
 def write_archives(pages: DataFrame, folder: str, **options) -> None:
-    """Archives of at most RECORDS_PER_FILE records below ``folder``; ``options`` as in ``records``."""
-    records(pages, **options).write.option("lineSep", BLANK).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    """Gzip archives of at most RECORDS_PER_FILE records below ``folder``; ``options`` as in ``records``."""
+    writer = records(pages, **options).write.option("lineSep", BLANK).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, named fields, block) of each record of an archive; a damaged one raises."""
+    """(offset, length, named fields, block) of each record of an uncompressed archive; a damaged one raises."""
     at, blank = 0, BLANK.encode()
     while at < len(data):
         end = data.find(blank, at)
@@ -155,7 +157,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = _captures(batch["path"][i].as_py(), batch["content"][i].as_buffer().to_pybytes())
+                found = _captures(batch["path"][i].as_py(), gzip.decompress(batch["content"][i].as_buffer()))
                 if found:
                     yield pa.RecordBatch.from_pylist(sorted(found, key=_order), schema=_CAPTURE_ARROW)
 
