@@ -52,5 +52,5 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write below the shared folder and read back: later steps do not repeat the work, and lineage ends here."""
     path = scratch_path(df.sparkSession, re.sub(r"\W", "_", name))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
