@@ -23,7 +23,7 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 GROUP_BLOCKS = 16
 #: parts of the lists after which bounds are compared
-DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
+DEPTHS = (0.65, 0.8, 1.0)
 #: rows that may be left when scores are resolved, besides k
 FINALISTS = 32
 
@@ -70,34 +70,46 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.order = np.argsort(-values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values.T, self.order, 1).astype(np.float64)
+        down = np.argsort(-values, axis=0, kind="stable").T
+        # both directions of each list: [0] from the largest value, [1] from the smallest
+        self.order = np.stack([down, down[:, ::-1]])
+        found = np.take_along_axis(values.T, down, 1).astype(np.float64)
+        self.sorted = np.stack([found, found[:, ::-1]])
 
     def best(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) that can be among the k best and reach ``floor``, best first, ties to smaller ids."""
+        """(ids, scores) that can be among the k best and reach ``floor``, best first, ties to smaller ids.
+
+        Where earlier blocks have given k scores, the lower bounds of this one are not needed.
+        """
         n = len(self.ids)
-        width = min(len(query), len(self.sorted))
+        width = min(len(query), self.order.shape[1])
         q = query[:width].astype(np.float64)
-        up = q >= 0
-        order = np.where(up[:, None], self.order[:width], self.order[:width, ::-1])
-        product = np.where(up[:, None], self.sorted[:width], self.sorted[:width, ::-1]) * q[:, None]
+        lists = (q < 0).astype(np.intp), np.arange(width)
         other = self.ids != own
-        last = product[:, -1]
-        slack = 1e-9 * np.abs(product).max(1).sum() / max(1, n)  # of sums of floats; whole numbers below 2**53 need none
-        read, done = np.zeros(n), 0
+        last = self.sorted[*lists, -1] * q
+        first = self.sorted[*lists, 0] * q
+        slack = 1e-9 * np.maximum(np.abs(first), np.abs(last)).sum() / max(1, n)  # whole numbers below 2**53 need none
+        read, done, parts = np.zeros(n), 0, []
         left = np.flatnonzero(other)
         for depth in DEPTHS:
             to = max(done + 1, int(n * depth)) if depth < 1 else n
             if to <= done:
                 continue
-            read += np.bincount(order[:, done:to].ravel(), product[:, done:to].ravel(), n)
-            seen = order[:, :to].ravel()
-            edge = product[:, to - 1]
-            upper = read + edge.sum() - np.bincount(seen, np.repeat(edge, to), n)
-            lower = (read + last.sum() - np.bincount(seen, np.repeat(last, to), n))[other]
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            left = np.flatnonzero(other & (upper + slack >= max(floor, kth)))
+            parts.append(self.order[*lists, done:to])
+            values = self.sorted[*lists, done:to] * q[:, None]
+            read += np.bincount(parts[-1].ravel(), values.ravel(), n)
             done = to
+
+            def unread(at_most: np.ndarray) -> np.ndarray:
+                """What the lists a row was not yet seen in give at most (or at least), by row."""
+                given = sum(np.bincount(p.ravel(), np.repeat(at_most, p.shape[1]), n) for p in parts)
+                return at_most.sum() - given
+
+            kth = -np.inf
+            if floor == -np.inf:
+                lower = (read + unread(last))[other]
+                kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
+            left = np.flatnonzero(other & (read + unread(values[:, -1]) + slack >= max(floor, kth)))
             if len(left) <= k + FINALISTS:
                 break
         score = self.values[left][:, :width] @ query[:width]
