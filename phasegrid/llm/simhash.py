@@ -191,9 +191,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     words is a copy of any other such text, and links to none else. Candidates are
     texts of which a half fingerprint differs in one bit at most: first each is
     compared with the smallest text at home at its anchors, which ties much of a
-    large group together; then those at home with the visitors of their anchors,
-    one of each group so far at each anchor. So a large group is not compared
-    with itself or, text by text, with what lies around it.
+    large group together; then those at home with all visitors of their anchors
+    that are not in one group with them yet. Every member counts there: a group
+    may be linked to another text by any one of them.
     """
     rows = store(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     texts = rows.select("row", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("bigint").alias("id"))
@@ -237,18 +237,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     def key(at):
         return F.shiftleft(F.col("table").cast("bigint"), 32).bitwiseOR(at)
 
-    group = F.shiftright("mark", BITS)
-
-    def one_of_a_group(rows: DataFrame) -> DataFrame:
-        """The smallest row of each group at each anchor; rows without links are groups of their own."""
-        return rows.repartition("key").groupBy("key", group.alias("group")).agg(F.min(F.struct("row", "mark")).alias("m"))
-
-    homes = one_of_a_group(marked.select(key(home).alias("key"), "row", "mark"))
-    guests = one_of_a_group(visits.select(key(anchor).alias("key"), "row", "mark"))
-    met = homes.select("key", F.col("group").alias("ga"), F.col("m.row").alias("a"), F.col("m.mark").alias("ma")).join(
-        guests.select("key", F.col("group").alias("gb"), F.col("m.row").alias("b"), F.col("m.mark").alias("mb")), "key")
+    met = marked.select(key(home).alias("key"), F.col("row").alias("a"), F.col("mark").alias("ma")).join(
+        visits.select(key(anchor).alias("key"), F.col("row").alias("b"), F.col("mark").alias("mb")), "key")
     near = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")).bitwiseAND(F.lit((1 << BITS) - 1))) <= 1
-    met = met.filter((F.col("ga") != F.col("gb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = F.shiftright(F.col("ma"), BITS) != F.shiftright(F.col("mb"), BITS)
+    met = met.filter(apart & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _similar(close(met.distinct()), texts, words, similarity)
     final = components(links.unionAll(more), "a", "b")
     named = classes.join(final.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
