@@ -124,8 +124,6 @@ def hexadecimal(fp):
 
 #: fingerprints of a text; each half of each is a table of anchors
 TABLES = 4
-#: share of fingerprint bits that a pair may differ in and still be compared by its shingles
-MOST_DIFFERING = 0.15
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -178,10 +176,6 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return store(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
 
-def _far(x, y):
-    return sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(TABLES)) > int(MOST_DIFFERING * 64 * TABLES)
-
-
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, groups): the stored rows of ``docs`` with a ``row`` number, and (row, keep) of every row.
 
@@ -213,19 +207,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     halves = F.array(*[F.struct(F.lit(2 * t + k).alias("table"), _half(fps[t], k).alias("x")) for t in range(TABLES) for k in (0, 1)])
     spread = classes.select("row", "fps", F.explode(halves).alias("h")).select("row", "fps", "h.table", "h.x").withColumn("s", _syndrome(F.col("x")).cast("int"))
     home = F.col("x").bitwiseXOR(_flip(F.col("s")))
-    sketch_of = classes.select("row", "fps")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole fingerprints are close enough."""
-        met = pairs.join(sketch_of.select(F.col("row").alias("a"), F.col("fps").alias("fa")), "a").join(
-            sketch_of.select(F.col("row").alias("b"), F.col("fps").alias("fb")), "b")
-        return store(met.filter(~_far(F.col("fa"), F.col("fb"))).select("a", "b"), "candidates")
-
     # first pass: one comparison for each text at most
     at_home = spread.select("row", F.col("table"), home.alias("anchor"))
     leader = at_home.groupBy("table", "anchor").agg(F.min("row").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     led = at_home.join(leader, ["table", "anchor"]).groupBy("row").agg(F.min("leader").alias("a")).filter("a <> row")
-    links = _similar(close(led.select("a", F.col("row").alias("b"))), texts, words, similarity)
+    links = _similar(store(led.select("a", F.col("row").alias("b")), "candidates"), texts, words, similarity)
     grouped = store(components(links, "a", "b"), "groups")
     # second pass: all that meet at an anchor and are not in one group; the group goes along as 32 bits of hash
     marked = spread.join(grouped.withColumnRenamed("node", "row"), "row", "left").withColumn(
@@ -242,7 +228,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     near = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")).bitwiseAND(F.lit((1 << BITS) - 1))) <= 1
     apart = F.shiftright(F.col("ma"), BITS) != F.shiftright(F.col("mb"), BITS)
     met = met.filter(apart & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _similar(close(met.distinct()), texts, words, similarity)
+    more = _similar(store(met.distinct(), "candidates"), texts, words, similarity)
     final = components(links.unionAll(more), "a", "b")
     named = classes.join(final.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     kept = named.groupBy("component").agg(F.min("first").alias("best")).select("component", F.col("best.row").alias("keep"))
