@@ -133,6 +133,71 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert simhash.without_near_copies(empty(spark)).count() == 0
 
 
+def kept_and_wanted(spark, rows):
+    """Ids that stay, and those that stay after comparing all pairs."""
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    kept = {r.doc_id for r in simhash.without_near_copies(df).select("doc_id").collect()}
+    groups = defaultdict(list)
+    for i, root in brute_groups(rows).items():
+        groups[root].append(rows[i][0])
+    return kept, {min(g) for g in groups.values()}
+
+
+def test_groups_that_only_other_members_link(spark):
+    """Chains of texts, each a step from the one before it and far from the ends, in any order."""
+    rnd = random.Random(5)
+    texts = []
+    for g in range(30):
+        words = [f"c{g}x{rnd.randrange(100_000)}" for _ in range(600)]
+        for step in range(14):
+            words[step * 40:step * 40 + 12] = [f"c{g}s{step}n{k}" for k in range(12)]
+            texts.append(" ".join(words))
+    rnd.shuffle(texts)
+    kept, want = kept_and_wanted(spark, list(enumerate(texts)))
+    assert len(want) == 30
+    assert kept == want
+
+
+def similar_pair(rnd, kind, n, share):
+    """A text and its edited form of about this similarity: words appended, cut off at the end, or replaced here and there."""
+    words = [f"v{rnd.randrange(3000)}" for _ in range(n)]
+    a, other = " ".join(words), list(words)
+    if kind == "appended":
+        other += [f"v{rnd.randrange(3000)}" for _ in range(round(n * (1 / share - 1)))]
+    elif kind == "cut":
+        other = other[:round(n * share)]
+    else:
+        while len(shingles(a) & shingles(" ".join(other))) > (share + 0.01) * len(shingles(a) | shingles(" ".join(other))):
+            other[rnd.randrange(n)] = f"n{rnd.random()}"
+    x, y = shingles(a), shingles(" ".join(other))
+    return a, " ".join(other), len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "replaced"])
+def test_similar_texts_are_candidates(kind):
+    rnd = random.Random(3)
+    pairs = [similar_pair(rnd, kind, rnd.choice([60, 150]), 0.81) for _ in range(200)]
+    keys = [[set(simhash.sketch(t, 5)[1]) for t in (a, b)] for a, b, s in pairs if s >= 0.8]
+    assert len(keys) > 80
+    assert sum(not x & y for x, y in keys) <= 1
+
+
+def test_similar_texts_are_one_group_whatever_the_edit(spark):
+    rnd = random.Random(4)
+    texts = [t for kind in ("appended", "cut", "replaced") for _ in range(40) for t in similar_pair(rnd, kind, 200, 0.82)[:2]]
+    kept, want = kept_and_wanted(spark, list(enumerate(texts)))
+    assert len(want) < 135
+    assert kept == want
+
+
+def test_groups_of_one_hash_are_compared(spark):
+    same = spark.range(1, 400_000).selectExpr("id + (id % 7) * (1L << 33) as id").selectExpr("id", "hash(id) as h").groupBy("h").agg({"id": "collect_list"}).toDF("h", "ids")
+    one, two = sorted(same.filter("size(ids) > 1").first().ids)[:2]
+    shared = spark.createDataFrame([(7, 0, 0), (7, one, 0), (7, two, 0)], "key bigint, row bigint, leader bigint")
+    groups = spark.createDataFrame([], "node bigint, component bigint")
+    assert [tuple(r) for r in simhash.untried(shared, groups).collect()] == [(one, two)]
+
+
 def test_recall_on_the_table(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     want = defaultdict(list)
