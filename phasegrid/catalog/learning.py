@@ -362,12 +362,12 @@ def _vectors(t: Tables, keep: list[str]) -> tuple[DataFrame, list[str]]:
 @query("gini_importance", "feature string, importance double")
 def _(t: Tables) -> DataFrame:
     vectors, names = _vectors(t, [])
-    return models.gini_importance(vectors, names, models.forest(numTrees=20, maxDepth=5))
+    return models.gini_importance(vectors, names, models.forest())
 
 
 def _classified(t: Tables, learner, **kw) -> DataFrame:
     df = t.features()
-    trained = models.train(df, "consistent", LEAVE_OUT, learner, rounds=2)
+    trained = models.train(df, "consistent", LEAVE_OUT, learner)
     return models.classify(df, trained, ["doc_id"], **kw)
 
 
@@ -376,23 +376,23 @@ CLASSIFIED = "doc_id long, Probability_FALSE double, Probability_TRUE double, Pr
 
 @query("train_boosted_forest", CLASSIFIED)
 def _(t: Tables) -> DataFrame:
-    return _classified(t, models.forest(numTrees=10, maxDepth=8))
+    return _classified(t, models.forest())
 
 
 @query("train_boosted_gbt", CLASSIFIED)
 def _(t: Tables) -> DataFrame:
-    return _classified(t, models.gradient_boosting(maxIter=4))
+    return _classified(t, models.gradient_boosting())
 
 
 @query("classify_table", CLASSIFIED)
 def _(t: Tables) -> DataFrame:
-    return _classified(t, models.forest(numTrees=10, maxDepth=8), refit=True)
+    return _classified(t, models.forest(), refit=True)
 
 
 @query("classify_candidates", "doc_id long, position long")
 def _(t: Tables) -> DataFrame:
     df = t.features().withColumn("dist_5p", (F.col("n_letters") % 40).cast("int"))
-    trained = models.train(df, "consistent", ["doc_id"], models.forest(numTrees=10, maxDepth=8), rounds=2)
+    trained = models.train(df, "consistent", ["doc_id"], models.forest())
     _, places = models.classify_candidates(df.drop("consistent"), df, trained, ["doc_id", "dist_5p"], "doc_id")
     return places
 
@@ -400,12 +400,10 @@ def _(t: Tables) -> DataFrame:
 @query("train_single_models", "model string, fold int, metric string, value double")
 def _(t: Tables) -> DataFrame:
     vectors, _ = _vectors(t, ["fold"])
-    learners = models.single_models(vectors.count() // 2, forest_trees=10, gbt_rounds=3)
-    return models.cross_validate(vectors, learners, folds=2)
+    return models.cross_validate(vectors, models.single_models(vectors.count() * 4 // 5))
 
 
 @query("cross_validate", "model string, metric string, mean double, std double")
 def _(t: Tables) -> DataFrame:
     vectors, _ = _vectors(t, ["fold"])
-    learners = {"logistic": models.single_models(vectors.count() * 4 // 5)["logistic"]}
-    return evaluation.cv_summary(models.cross_validate(vectors, learners))
+    return evaluation.cv_summary(models.cross_validate(vectors, models.single_models(vectors.count() * 4 // 5)))

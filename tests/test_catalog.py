@@ -62,3 +62,38 @@ def test_boosted_models_beat_chance(spark, small):
     assert right > 380
     bad = out.filter(F.abs(F.col("Probability_TRUE") + F.col("Probability_FALSE") - 1) > 1e-9).count()
     assert bad == 0
+
+
+@pytest.mark.parametrize("name", sorted(MODELS))
+def test_model_queries_use_published_settings(spark, small, monkeypatch, name):
+    """What the queries ask of the learners, without fitting them."""
+    from phasegrid.learn import models
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def learner(x):
+        return {k: x.getOrDefault(k) for k in ("numTrees", "maxDepth", "maxIter") if x.hasParam(k)}
+
+    def fitted(vectors, x, rounds=models.ROUNDS):
+        asked.append((rounds, learner(x)))
+        raise Stop
+
+    def validated(vectors, learners, folds=5):
+        asked.append((folds, {k: learner(x) for k, x in learners.items()}))
+        raise Stop
+
+    monkeypatch.setattr(models, "boost", fitted)
+    monkeypatch.setattr(models, "gini_importance", lambda vectors, features, x: fitted(vectors, x))
+    monkeypatch.setattr(models, "cross_validate", validated)
+    with pytest.raises(Stop):
+        catalog.run_query(catalog.QUERIES[name], spark, small)
+    if name in ("train_single_models", "cross_validate"):
+        want = (5, {"gbt": {"maxDepth": 7, "maxIter": 100}, "forest": {"numTrees": 300, "maxDepth": 10}, "logistic": {"maxIter": 100}})
+    elif name == "train_boosted_gbt":
+        want = (50, {"maxDepth": 3, "maxIter": 200})
+    else:
+        want = (50, {"numTrees": 200, "maxDepth": 30})
+    assert asked == [want]
