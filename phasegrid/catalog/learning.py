@@ -21,9 +21,24 @@ def _encoded(t: Tables) -> tuple[DataFrame, encode.Encoder]:
     return encoder.transform(df, ["doc_id", "consistent"]), encoder
 
 
+KEEP = ["doc_id", "consistent"]
+
+
+def _scaled(t: Tables) -> tuple[DataFrame, list[str]]:
+    df = t.features()
+    numeric, _ = encode.kinds(df, KEEP)
+    return encode.Encoder(encode.fit_knots(df, numeric)).transform(df, KEEP), numeric
+
+
+def _encoded_long(t: Tables) -> DataFrame:
+    """(doc_id, consistent, feature, value) of all encoded columns, with no list of categories on the driver."""
+    scaled, numeric = _scaled(t)
+    df = t.features()
+    return encode.melt(scaled, KEEP, numeric).unionByName(encode.one_hot_table(df, KEEP, encode.kinds(df, KEEP)[1]))
+
+
 def _long(t: Tables) -> DataFrame:
-    encoded, encoder = _encoded(t)
-    return evaluation.labelled_long(encoded, "consistent", encoder.feature_names())
+    return _encoded_long(t).select(F.col("consistent").cast("int").alias("y"), "feature", "value")
 
 
 def _scaled_sql(c: str) -> str:
@@ -45,7 +60,7 @@ SELECT doc_id, lang, source, toxic, consistent, {', '.join(_scaled_sql(c) for c
 
 @query("quantile_transform", "doc_id long, n_chars double, n_letters double, n_gc double", ["scaled"], "SELECT * FROM scaled")
 def _(t: Tables) -> DataFrame:
-    return _encoded(t)[0]
+    return _scaled(t)[0]
 
 
 view("hot", ["features"], """
@@ -58,9 +73,8 @@ SELECT d.doc_id, f.feature, CASE WHEN h.feature IS NULL THEN 0.0 ELSE 1.0 END AS
 FROM features d CROSS JOIN (SELECT DISTINCT feature FROM hot) f
 LEFT JOIN hot h ON h.doc_id = d.doc_id AND h.feature = f.feature""")
 def _(t: Tables) -> DataFrame:
-    encoded, encoder = _encoded(t)
-    shown = [n for n in encoder.feature_names() if n not in encoder.knots]
-    return encode.melt(encoded, ["doc_id"], shown)
+    df = t.features()
+    return encode.one_hot_table(df, ["doc_id"], encode.kinds(df, KEEP)[1])
 
 
 view("enclong", ["scaled", "hot", "features"], """
@@ -105,9 +119,8 @@ def _(t: Tables) -> DataFrame:
 @query("feature_weight_join", "doc_id long, weighted_sum double", ["enclong", "evals"], """
 SELECT doc_id, sum(value * importance * correlation) AS weighted_sum FROM enclong JOIN evals USING (feature) GROUP BY doc_id""")
 def _(t: Tables) -> DataFrame:
-    encoded, encoder = _encoded(t)
-    table = evaluation.feature_evaluation(evaluation.labelled_long(encoded, "consistent", encoder.feature_names()))
-    return localise.feature_weights_long(encode.melt(encoded, ["doc_id"], encoder.feature_names()), ["doc_id"], table)
+    table = evaluation.feature_evaluation(_long(t))
+    return localise.feature_weights_long(_encoded_long(t).drop("consistent"), ["doc_id"], table)
 
 
 @query("class_balance", "n_true long, n_false long", ["features"],

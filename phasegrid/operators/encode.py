@@ -83,6 +83,15 @@ def one_hot_long(df: DataFrame, keep: list[str], columns: list[str]) -> DataFram
     return long.select(*keep, F.concat_ws("_", "col", "cat").alias("feature"))
 
 
+def one_hot_table(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """(keep..., feature, value) of every row and category, zeros too; categories stay a table on Spark."""
+    texts = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    rows = df.select(*keep, texts.alias("_texts"))
+    hit = (F.element_at("_texts", F.col("col")) == F.col("cat")).cast("double")
+    return rows.crossJoin(categories(df, columns)).select(
+        *keep, F.concat_ws("_", "col", "cat").alias("feature"), F.coalesce(hit, F.lit(0.0)).alias("value"))
+
+
 @dataclass
 class Encoder:
     """Fitted numbers only, so it can be kept, reloaded and applied to any table."""

@@ -97,3 +97,14 @@ def test_model_queries_use_published_settings(spark, small, monkeypatch, name):
     else:
         want = (50, {"numTrees": 200, "maxDepth": 30})
     assert asked == [want]
+
+
+@pytest.mark.parametrize("name", ["one_hot", "feature_weight_join", "chi2_feature_scores", "point_biserial"])
+def test_categories_are_not_collected(spark, small, duck, monkeypatch, name):
+    from phasegrid.operators import encode
+
+    def collected(df, columns):
+        raise AssertionError("categories came to the driver")
+
+    monkeypatch.setattr(encode, "fit_categories", collected)
+    test_matches_sql(spark, small, duck, name)
