@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, ppm, quality_classifier, simhash, token_counts, topk, warc
+from . import bpe, mixing, pii, ppm, quality_classifier, secret_scan, simhash, token_counts, topk, warc
 from . import quality_rules as rules
 from .common import table
 
@@ -231,3 +231,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM d""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_secret_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[secret_scan.count_kind(spans, k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.listed(spans, secret_scan.BASE).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(spans, secret_scan.KINDS).alias("spans"),
+    )
