@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, ppm, quality_classifier, secret_scan, simhash, token_counts, topk, warc
+from . import bpe, merkle, mixing, pii, ppm, quality_classifier, secret_scan, simhash, token_counts, topk, warc
 from . import quality_rules as rules
 from .common import table
 
@@ -242,3 +242,60 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.listed(spans, secret_scan.BASE).cast("binary"), 256).alias("base_sha256"),
         secret_scan.listed(spans, secret_scan.KINDS).alias("spans"),
     )
+
+
+def _merkle_sql() -> str:
+    """The same trees level by level in DuckDB: nodes by a recursion upwards, proofs by a recursion from every leaf."""
+    fan = merkle.FAN
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c if c != "text" else text) for c in merkle.FIELDS) + ")"
+
+    def tree(p: str, base: str) -> str:
+        return f"""{p}_tree(level, grp, pos, n, digest) AS (
+  {base}
+  UNION ALL
+  SELECT level + 1, grp, pos // {fan}, (n + {fan - 1}) // {fan}, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {p}_tree WHERE n > 1 GROUP BY level, grp, pos // {fan}, n
+), {p}_runs AS (
+  SELECT level, grp, pos // {fan} AS run, list(digest ORDER BY pos) AS l FROM {p}_tree WHERE n > 1 GROUP BY ALL
+), {p}_tops AS (SELECT grp, digest FROM {p}_tree WHERE n = 1)"""
+
+    def walk(p: str, base: str) -> str:
+        return f"""{p}_walk(r, level, grp, pos, proof, folded, done) AS (
+  {base}
+  UNION ALL
+  SELECT w.r, w.level + 1, w.grp, w.pos // {fan},
+         w.proof || array_to_string(u.l[:w.pos % {fan}], '') || array_to_string(u.l[w.pos % {fan} + 2:], ''),
+         sha256(array_to_string(u.l[:w.pos % {fan}], '') || w.folded || array_to_string(u.l[w.pos % {fan} + 2:], '')), false
+  FROM {p}_walk w JOIN {p}_runs u ON u.level = w.level AND u.grp = w.grp AND u.run = w.pos // {fan}
+), {p}_end AS (SELECT r, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM {p}_walk GROUP BY r)"""
+
+    crc = ("list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: "
+           "list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1::BIGINT, 3988292384::BIGINT * (x & 1))))")
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS grp, {leaf('text')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295::BIGINT) % 3 = 0
+              THEN {leaf(f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')")} ELSE {leaf('text')} END AS claimed
+  FROM documents
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d
+), {tree('low', 'SELECT 0, grp, pos, n, leaf FROM places')},
+subroots AS (SELECT grp AS lang, digest, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM low_tops),
+{tree('high', "SELECT 0, '', pos, n, digest FROM subroots")},
+{walk('low', "SELECT r, 0, grp, pos, '', claimed, false FROM places")},
+{walk('high', "SELECT e.r, 0, '', s.pos, e.proof, e.folded, false FROM low_end e JOIN places p USING (r) JOIN subroots s ON s.lang = p.grp")}
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root,
+       e.folded = t.digest AS verified
+FROM places p JOIN subroots s ON s.lang = p.grp JOIN high_end e USING (r) CROSS JOIN high_tops t"""
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), claimed={"text": merkle.tampered_text()}, witnesses=False)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

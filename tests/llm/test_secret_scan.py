@@ -118,7 +118,6 @@ def test_query_on_the_table(spark, small):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in base) for k in BASE]
         assert [s for s in r.spans.split(",") if s.split(":")[0] in BASE] == [s for s in listed.split(",") if s]
-    assert sum(r.n_assign > 0 for r in got) > 0
     # nothing but credentials: entropy spans lie where a name or a hex run stands
     for r in got:
         for kind, a, b in (s.split(":") for s in r.spans.split(",") if s.startswith("entropy")):
