@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, pii, ppm, quality_classifier, secret_scan, simhash, token_counts, topk, warc
+from . import alignment, bpe, merkle, mixing, pii, ppm, quality_classifier, secret_scan, simhash, token_counts, topk, warc
 from . import quality_rules as rules
 from .common import table
 
-#: the tokenizer of the queries
+#: the tokenizer of the queries, and the one it is aligned with
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,10 +29,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def _rules_sql(r: rules.Rules) -> str:
@@ -299,3 +300,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(table(spark, sf_dir, "documents"), claimed={"text": merkle.tampered_text()}, witnesses=False)
     return found.select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
