@@ -300,7 +300,7 @@ def manifest(rows: DataFrame, m: Manifest = Manifest(), claimed: dict[str, Colum
     tops = ranked(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "digest"), "grp", ["of"])
     top_tiers, roots = grow(tops, depth, "merkle_top")
     above = roots.select(
-        F.lit("").alias("grp"), F.lit(0).cast("bigint").alias("pos"), F.array().cast(_KINDS["witness"]).alias("steps"),
+        "grp", F.lit(0).cast("bigint").alias("pos"), F.array().cast(_KINDS["witness"]).alias("steps"),
         F.lit("").alias("subroot"), F.col("digest").alias("root"))
     for tier in reversed(top_tiers):
         above = store(node_witnesses(tier, above, depth), "merkle_top_witness")
