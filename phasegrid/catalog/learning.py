@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..learn import models
 from ..operators import encode, evaluation, localise, tables
 from ..plans import localisation
+from ..session import scratch_path, stored
 from .fixtures import Tables
 from .registry import query, view
 from .segments import pct
@@ -15,30 +16,22 @@ from .segments import pct
 NUMERIC = ["n_chars", "n_letters", "n_gc"]
 
 
-def _encoded(t: Tables) -> tuple[DataFrame, encode.Encoder]:
-    df = t.features()
-    encoder = encode.Encoder.fit(df, ["doc_id", "consistent"])
-    return encoder.transform(df, ["doc_id", "consistent"]), encoder
-
-
 KEEP = ["doc_id", "consistent"]
 
 
-def _scaled(t: Tables) -> tuple[DataFrame, list[str]]:
+def _knots(t: Tables) -> tuple[dict[str, list[float]], list[str]]:
+    """Knots of the numeric columns, and the categorical ones."""
     df = t.features()
-    numeric, _ = encode.kinds(df, KEEP)
-    return encode.Encoder(encode.fit_knots(df, numeric)).transform(df, KEEP), numeric
+    numeric, categorical = encode.kinds(df, KEEP)
+    return encode.fit_knots(df, numeric), categorical
 
 
-def _encoded_long(t: Tables) -> DataFrame:
-    """(doc_id, consistent, feature, value) of all encoded columns, with no list of categories on the driver."""
-    scaled, numeric = _scaled(t)
+def _sums(t: Tables) -> tuple[DataFrame, tuple[int, int]]:
+    """Sums of every encoded feature from its entries that aren't zero, and the totals of the classes."""
+    knots, categorical = _knots(t)
     df = t.features()
-    return encode.melt(scaled, KEEP, numeric).unionByName(encode.one_hot_table(df, KEEP, encode.kinds(df, KEEP)[1]))
-
-
-def _long(t: Tables) -> DataFrame:
-    return _encoded_long(t).select(F.col("consistent").cast("int").alias("y"), "feature", "value")
+    y = F.col("consistent").cast("int").alias("y")
+    return evaluation.feature_sums(encode.entries(df, [y], knots, categorical)), evaluation.class_totals(df, "consistent")
 
 
 def _scaled_sql(c: str) -> str:
@@ -60,7 +53,8 @@ SELECT doc_id, lang, source, toxic, consistent, {', '.join(_scaled_sql(c) for c
 
 @query("quantile_transform", "doc_id long, n_chars double, n_letters double, n_gc double", ["scaled"], "SELECT * FROM scaled")
 def _(t: Tables) -> DataFrame:
-    return _scaled(t)[0]
+    knots, _ = _knots(t)
+    return t.features().select("doc_id", *[encode.quantile_scaled(F.col(c), k).alias(c) for c, k in knots.items()])
 
 
 view("hot", ["features"], """
@@ -68,13 +62,10 @@ SELECT doc_id, 'lang_' || lang AS feature FROM features UNION ALL SELECT doc_id,
 UNION ALL SELECT doc_id, 'toxic_' || toxic::VARCHAR FROM features""")
 
 
-@query("one_hot", "doc_id long, feature string, value double", ["features", "hot"], """
-SELECT d.doc_id, f.feature, CASE WHEN h.feature IS NULL THEN 0.0 ELSE 1.0 END AS value
-FROM features d CROSS JOIN (SELECT DISTINCT feature FROM hot) f
-LEFT JOIN hot h ON h.doc_id = d.doc_id AND h.feature = f.feature""")
+@query("one_hot", "doc_id long, feature string, value double", ["hot"], "SELECT doc_id, feature, 1.0 AS value FROM hot WHERE feature IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     df = t.features()
-    return encode.one_hot_table(df, ["doc_id"], encode.kinds(df, KEEP)[1])
+    return encode.one_hot(df, ["doc_id"], encode.kinds(df, KEEP)[1])
 
 
 view("enclong", ["scaled", "hot", "features"], """
@@ -96,31 +87,32 @@ view("evals", ["chi", "pb"], "SELECT feature, importance, correlation FROM chi J
 
 @query("chi2_feature_scores", "feature string, importance double", ["chi"], "SELECT * FROM chi")
 def _(t: Tables) -> DataFrame:
-    return evaluation.chi2_scores(_long(t))
+    return evaluation.chi2_scores(*_sums(t)).select(encode.feature_name(), "importance")
 
 
 @query("point_biserial", "feature string, correlation double", ["pb"], "SELECT * FROM pb")
 def _(t: Tables) -> DataFrame:
-    return evaluation.point_biserial(_long(t))
+    return evaluation.point_biserial(*_sums(t)).select(encode.feature_name(), "correlation")
 
 
 @query("feature_evaluation_table", "feature string, importance double, correlation double", ["evals"], "SELECT * FROM evals")
 def _(t: Tables) -> DataFrame:
-    return evaluation.feature_evaluation(_long(t))
+    return evaluation.feature_evaluation(*_sums(t))
 
 
 @query("top_k_features", "feature string, importance double", ["chi"],
        "SELECT * FROM chi ORDER BY round(importance, 9) DESC, feature LIMIT 5")
 def _(t: Tables) -> DataFrame:
-    table = evaluation.feature_evaluation(_long(t)).withColumn("importance", F.round("importance", 9))
+    table = evaluation.feature_evaluation(*_sums(t)).withColumn("importance", F.round("importance", 9))
     return evaluation.top_k(table, 5)
 
 
 @query("feature_weight_join", "doc_id long, weighted_sum double", ["enclong", "evals"], """
 SELECT doc_id, sum(value * importance * correlation) AS weighted_sum FROM enclong JOIN evals USING (feature) GROUP BY doc_id""")
 def _(t: Tables) -> DataFrame:
-    table = evaluation.feature_evaluation(_long(t))
-    return localise.feature_weights_long(_encoded_long(t).drop("consistent"), ["doc_id"], table)
+    knots, categorical = _knots(t)
+    table = evaluation.feature_evaluation(*_sums(t))
+    return localise.feature_weights_sparse(encode.entries(t.features(), ["doc_id"], knots, categorical, zeros=True), ["doc_id"], table)
 
 
 @query("class_balance", "n_true long, n_false long", ["features"],
@@ -366,22 +358,33 @@ def _(t: Tables) -> DataFrame:
 LEAVE_OUT = ["doc_id"]
 
 
-def _vectors(t: Tables, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    encoded, encoder = _encoded(t)
-    keyed = models.with_fold(encoded, "doc_id")
-    return models.vectorised(keyed, encoder.feature_names(), "consistent", keep), encoder.feature_names()
+def _fitting(t: Tables) -> tuple[DataFrame, list[str]]:
+    """Vectors of the features with their folds, written once, and the features' names."""
+    df = models.with_fold(t.features(), "doc_id")
+    encoder, _ = models.choose(df, "consistent", ["doc_id", "fold"], "all")
+    return stored(models.vectorised(df, encoder, "consistent", ["fold"]), "vectors"), encoder.feature_names()
 
 
 @query("gini_importance", "feature string, importance double")
 def _(t: Tables) -> DataFrame:
-    vectors, names = _vectors(t, [])
+    vectors, names = _fitting(t)
     return models.gini_importance(vectors, names, models.forest())
 
 
-def _classified(t: Tables, learner, **kw) -> DataFrame:
-    df = t.features()
-    trained = models.train(df, "consistent", LEAVE_OUT, learner)
-    return models.classify(df, trained, ["doc_id"], **kw)
+def _model_dir(t: Tables, name: str, learner) -> str:
+    """The directory of the boosted classifier of these tables, trained once a session and reloaded by every query."""
+    setting = f"phasegrid.model.{name}.{t.folder}"
+    folder = t.spark.conf.get(setting, None)
+    if not folder:
+        folder = scratch_path(t.spark, f"model_{name}")
+        models.save(models.train(t.features(), "consistent", LEAVE_OUT, learner), folder)
+        t.spark.conf.set(setting, folder)
+    return folder
+
+
+def _classified(t: Tables, name: str, learner, **kw) -> DataFrame:
+    trained = models.load(t.spark, _model_dir(t, name, learner))
+    return models.classify(t.features(), trained, ["doc_id"], **kw)
 
 
 CLASSIFIED = "doc_id long, Probability_FALSE double, Probability_TRUE double, Predicted_Class boolean"
@@ -389,34 +392,37 @@ CLASSIFIED = "doc_id long, Probability_FALSE double, Probability_TRUE double, Pr
 
 @query("train_boosted_forest", CLASSIFIED)
 def _(t: Tables) -> DataFrame:
-    return _classified(t, models.forest())
+    return _classified(t, "forest", models.forest())
 
 
 @query("train_boosted_gbt", CLASSIFIED)
 def _(t: Tables) -> DataFrame:
-    return _classified(t, models.gradient_boosting())
+    return _classified(t, "gbt", models.gradient_boosting())
 
 
 @query("classify_table", CLASSIFIED)
 def _(t: Tables) -> DataFrame:
-    return _classified(t, models.forest(), refit=True)
+    return _classified(t, "forest", models.forest(), refit=True)
 
 
 @query("classify_candidates", "doc_id long, position long")
 def _(t: Tables) -> DataFrame:
+    trained = models.load(t.spark, _model_dir(t, "forest", models.forest()))
     df = t.features().withColumn("dist_5p", (F.col("n_letters") % 40).cast("int"))
-    trained = models.train(df, "consistent", ["doc_id"], models.forest())
     _, places = models.classify_candidates(df.drop("consistent"), df, trained, ["doc_id", "dist_5p"], "doc_id")
     return places
 
 
+def _validated(t: Tables) -> DataFrame:
+    vectors, _ = _fitting(t)
+    return models.cross_validate(vectors, models.single_models(vectors.count() * 4 // 5))
+
+
 @query("train_single_models", "model string, fold int, metric string, value double")
 def _(t: Tables) -> DataFrame:
-    vectors, _ = _vectors(t, ["fold"])
-    return models.cross_validate(vectors, models.single_models(vectors.count() * 4 // 5))
+    return _validated(t)
 
 
 @query("cross_validate", "model string, metric string, mean double, std double")
 def _(t: Tables) -> DataFrame:
-    vectors, _ = _vectors(t, ["fold"])
-    return evaluation.cv_summary(models.cross_validate(vectors, models.single_models(vectors.count() * 4 // 5)))
+    return evaluation.cv_summary(_validated(t))

@@ -56,64 +56,66 @@ def quantile_scaled(x: Column, knots: list[float]) -> Column:
     return expr
 
 
-def categories(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col, cat) of every category of these columns, as a table."""
-    pairs = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat")) for c in columns]
-    return df.select(F.inline(F.array(*pairs))).filter(F.col("cat").isNotNull()).distinct()
+def entries(df: DataFrame, keep: list[str], knots: dict[str, list[float]], columns: list[str], zeros: bool = False) -> DataFrame:
+    """(keep..., col, cat, value) of the encoded row where it isn't zero: scaled numbers (``cat`` NULL), a 1 per category.
 
-
-def fit_categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """The categories of every column, sorted, for ``Encoder``, which makes a column of each.
-
-    A wide table is limited by its columns; ``one_hot_long`` is not.
+    One pass over the rows, for any number of categories, none of which is collected.
+    Column and category stay apart, as ``a`` + ``b_c`` and ``a_b`` + ``c`` have one
+    name. Scaled values have nine decimals, so that their sums are exact in any order.
+    With ``zeros`` numeric zeros are rows too, and a row without any value gives one with no column.
     """
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in categories(df, columns).collect() if columns else []:
-        out[r["col"]].append(r["cat"])
-    return {c: sorted(v) for c, v in out.items()}
+    value = "decimal(18,9)"
+    numeric = [
+        F.struct(F.lit(c).alias("col"), F.lit(None).cast("string").alias("cat"),
+                 F.round(quantile_scaled(F.col(f"`{c}`").cast("double"), k), 9).cast(value).alias("value"))
+        for c, k in knots.items()
+    ]
+    hot = [
+        F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat"),
+                 F.when(F.col(f"`{c}`").isNotNull(), F.lit(1)).cast(value).alias("value"))
+        for c in columns
+    ]
+    found = F.filter(F.array(*numeric, *hot), lambda x: x["value"].isNotNull() & (F.lit(zeros) | (x["value"] != 0)))
+    return df.select(*keep, (F.inline_outer if zeros else F.inline)(found))
 
 
-def one_hot_long(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
-    """(keep..., feature) of each 1 of the one-hot encoding, for any number of categories.
-
-    ``feature`` is named as the column of the wide form. Zeros are not rows.
-    """
-    pairs = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("cat")) for c in columns]
-    long = df.select(*keep, F.inline(F.array(*pairs))).filter(F.col("cat").isNotNull())
-    return long.select(*keep, F.concat_ws("_", "col", "cat").alias("feature"))
+def feature_name() -> Column:
+    """The name of an entry's feature: its column, and its category after an underscore."""
+    return F.concat_ws("_", "col", "cat").alias("feature")
 
 
-def one_hot_table(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
-    """(keep..., feature, value) of every row and category, zeros too; categories stay a table on Spark."""
-    texts = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    rows = df.select(*keep, texts.alias("_texts"))
-    hit = (F.element_at("_texts", F.col("col")) == F.col("cat")).cast("double")
-    return rows.crossJoin(categories(df, columns)).select(
-        *keep, F.concat_ws("_", "col", "cat").alias("feature"), F.coalesce(hit, F.lit(0.0)).alias("value"))
+def one_hot(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """(keep..., feature, value) of each 1 of the one-hot encoding; zeros are not rows."""
+    return entries(df, keep, {}, columns).select(*keep, feature_name(), F.col("value").cast("double").alias("value"))
 
 
 @dataclass
 class Encoder:
-    """Fitted numbers only, so it can be kept, reloaded and applied to any table."""
+    """Fitted numbers and the categories that were chosen: small, so it can be kept, reloaded and applied to any table."""
 
     knots: dict[str, list[float]] = field(default_factory=dict)
     categories: dict[str, list[str]] = field(default_factory=dict)
 
     @staticmethod
-    def fit(df: DataFrame, leave_out: list[str]) -> "Encoder":
-        numeric, categorical = kinds(df, leave_out)
-        return Encoder(fit_knots(df, numeric) if numeric else {}, fit_categories(df, categorical))
+    def of(chosen: list[tuple[str, str | None]], knots: dict[str, list[float]]) -> "Encoder":
+        """An encoder of the chosen (column, category) features; numbers have no category."""
+        shown: dict[str, list[str]] = {}
+        for c, v in chosen:
+            if v is not None:
+                shown.setdefault(c, []).append(v)
+        return Encoder({c: knots[c] for c, v in chosen if v is None}, {c: sorted(v) for c, v in shown.items()})
 
     def feature_names(self) -> list[str]:
         return [*self.knots, *[f"{c}_{v}" for c, values in self.categories.items() for v in values]]
 
     def columns(self) -> list[Column]:
-        scaled = [quantile_scaled(F.col(f"`{c}`").cast("double"), k).alias(c) for c, k in self.knots.items()]
-        shown = []
+        """One column per feature, in the order of the names; a column that is missing is NULL."""
+        scaled = [quantile_scaled(F.col(f"`{c}`").cast("double"), k) for c, k in self.knots.items()]
         for c, values in self.categories.items():
             text = F.col(f"`{c}`").cast("string")
-            shown += [F.coalesce((text == v).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for v in values]
-        return scaled + shown
+            scaled += [F.coalesce((text == v).cast("double"), F.lit(0.0)) for v in values]
+        return scaled
 
-    def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        return df.select(*keep, *self.columns())
+    def vector(self) -> Column:
+        """The row's features as one array, gaps as 0."""
+        return F.array(*[F.coalesce(c, F.lit(0.0)) for c in self.columns()]).cast("array<double>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_ratio
-from .encode import melt
+from .encode import feature_name, melt
 from .prefix import exact_quantiles, running_totals, with_bucket
 
 
@@ -14,27 +14,48 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count_if(F.col(label)).alias("n_true"), F.count_if(~F.col(label)).alias("n_false"))
 
 
-def chi2_scores(long: DataFrame) -> DataFrame:
-    """Chi-square of non-negative features against a class, from (feature, value, y) rows."""
-    sums = long.groupBy("feature").agg(
-        F.sum("value").alias("total"),
-        F.sum(F.col("value") * F.col("y")).alias("in_true"),
-        F.avg("y").alias("prior"),
+def class_totals(df: DataFrame, y: str) -> tuple[int, int]:
+    """Rows, and rows of the class: the two numbers through which the zeros of sparse features count."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("int")).alias("s")).first()
+    return row["n"], row["s"] or 0
+
+
+def feature_sums(entries: DataFrame) -> DataFrame:
+    """Sums of v, v y and v v of every feature, from its (col, cat, value, y) entries that aren't zero."""
+    v, y = F.col("value"), F.col("y").cast("int")
+    return entries.groupBy("col", "cat").agg(
+        F.sum(v).cast("double").alias("sv"), F.sum(F.when(y == 1, v).otherwise(0)).cast("double").alias("svy"),
+        F.sum(v * v).cast("double").alias("svv"),
     )
-    o1, o0 = F.col("in_true"), F.col("total") - F.col("in_true")
-    e1, e0 = F.col("prior") * F.col("total"), (1 - F.col("prior")) * F.col("total")
+
+
+def _chi2(totals: tuple[int, int]) -> Column:
+    n, ones = (F.lit(float(x)) for x in totals)
+    o1, o0 = F.col("svy"), F.col("sv") - F.col("svy")
+    e1, e0 = ones / n * F.col("sv"), (n - ones) / n * F.col("sv")
     part = lambda o, e: F.when(e > 0, (o - e) * (o - e) / e)
-    return sums.select("feature", (part(o1, e1) + part(o0, e0)).alias("importance"))
+    return part(o1, e1) + part(o0, e0)
+
 
+def _pearson(totals: tuple[int, int]) -> Column:
+    n, ones = (F.lit(float(x)) for x in totals)
+    spread_v, spread_y = n * F.col("svv") - F.col("sv") * F.col("sv"), n * ones - ones * ones
+    return F.when((spread_v > 0) & (spread_y > 0), (n * F.col("svy") - F.col("sv") * ones) / (F.sqrt(spread_v) * F.sqrt(spread_y)))
 
-def point_biserial(long: DataFrame) -> DataFrame:
-    """Pearson correlation of every feature with the 0/1 class; NULL for constant features."""
-    c = F.corr("value", F.col("y").cast("double"))
-    return long.groupBy("feature").agg(F.when(~F.isnan(c), c).alias("correlation"))
 
+def chi2_scores(sums: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """(col, cat, importance): chi-square of non-negative features against a class, from ``feature_sums`` and ``class_totals``."""
+    return sums.select("col", "cat", _chi2(totals).alias("importance"))
 
-def feature_evaluation(long: DataFrame) -> DataFrame:
-    return chi2_scores(long).join(point_biserial(long), "feature")
+
+def point_biserial(sums: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """(col, cat, correlation) of every feature with the 0/1 class; NULL for constant features."""
+    return sums.select("col", "cat", _pearson(totals).alias("correlation"))
+
+
+def feature_evaluation(sums: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """(col, cat, feature, importance, correlation) of every feature that isn't zero everywhere."""
+    return sums.select("col", "cat", feature_name(), _chi2(totals).alias("importance"), _pearson(totals).alias("correlation"))
 
 
 def top_k(evaluation: DataFrame, k: int | str = 100) -> DataFrame:
@@ -44,11 +65,6 @@ def top_k(evaluation: DataFrame, k: int | str = 100) -> DataFrame:
     return evaluation.orderBy(F.col("importance").desc(), F.col("feature").asc()).limit(k)
 
 
-def labelled_long(encoded: DataFrame, label: str, features: list[str]) -> DataFrame:
-    y = encoded.withColumn("y", F.col(label).cast("int"))
-    return melt(y, ["y"], features)
-
-
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric column."""
     long = melt(df, [], columns).filter(F.col("value").isNotNull())

@@ -247,8 +247,38 @@ def test_fractions_below_a_thousandth(spark):
 
 
 def test_one_hot_of_many_categories(spark):
-    from phasegrid.operators import encode
-
     df = spark.range(30_000).select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"))
-    long = encode.one_hot_long(df, ["id"], ["name"])
+    long = encode.one_hot(df, ["id"], ["name"])
     assert long.count() == 30_000 and long.filter("id = 7").first().feature == "name_c7"
+
+
+def test_features_of_one_name_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "b_c", "x"), (0, "z", "c"), (1, "b_c", None)], "y int, a string, a_b string")
+    sums = evaluation.feature_sums(encode.entries(df, ["y"], {}, ["a", "a_b"]))
+    got = sorted((r.feature, r.col, r.importance) for r in evaluation.feature_evaluation(sums, evaluation.class_totals(df, "y")).collect())
+    assert [x[:2] for x in got] == [("a_b_c", "a"), ("a_b_c", "a_b"), ("a_b_x", "a_b"), ("a_z", "a")]
+
+
+def test_sparse_statistics_are_those_of_the_dense_table(spark):
+    import numpy as np
+
+    rnd = random.Random(12)
+    data = [(rnd.random() < 0.3, rnd.choice([0.0, rnd.random() * 9, None]), rnd.choice(["p", "q", None, ""])) for _ in range(500)]
+    df = spark.createDataFrame(data, "y boolean, v double, c string")
+    knots = encode.fit_knots(df, ["v"])
+    sums = evaluation.feature_sums(encode.entries(df, [F.col("y").cast("int").alias("y")], knots, ["c"]))
+    got = {r.feature: (r.importance, r.correlation) for r in evaluation.feature_evaluation(sums, evaluation.class_totals(df, "y")).collect()}
+    y = np.array([r[0] for r in data], float)
+    scaled = [r.s or 0.0 for r in df.select(encode.quantile_scaled(F.col("v"), knots["v"]).alias("s")).collect()]
+    columns = {"v": np.array(scaled), **{f"c_{k}": np.array([float(r[2] == k) for r in data]) for k in ("p", "q", "")}}
+    assert set(got) == set(columns)
+    for name, v in columns.items():
+        e = np.array([y.mean(), 1 - y.mean()]) * v.sum()
+        chi = (((np.array([(v * y).sum(), (v * (1 - y)).sum()]) - e) ** 2) / e).sum()
+        assert got[name][0] == pytest.approx(chi, abs=1e-6) and got[name][1] == pytest.approx(np.corrcoef(v, y)[0, 1], abs=1e-6)
+    table = evaluation.feature_evaluation(sums, evaluation.class_totals(df, "y"))
+    keyed = df.withColumn("id", F.monotonically_increasing_id())
+    from phasegrid.operators import localise
+    weighed = localise.feature_weights_sparse(encode.entries(keyed, ["id"], knots, ["c"], zeros=True), ["id"], table).collect()
+    want = sum(columns[f] * np.prod(got[f]) for f in got)
+    assert sorted(r.weighted_sum for r in weighed) == pytest.approx(sorted(want.tolist()), abs=1e-6)
