@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..learn import models
-from ..operators import encode, evaluation, localise, tables
+from ..operators import encode, evaluation, localise, sites, structures, tables
 from ..plans import localisation
 from ..session import scratch_path, stored
 from .fixtures import Tables
 from .registry import query, view
 from .segments import pct
+from .sequences import KMER_COLS, KMER_SQL, MOTIFS, PAIRED
+from .sequences import _motif as motif_sql
 
 NUMERIC = ["n_chars", "n_letters", "n_gc"]
 
@@ -315,44 +317,105 @@ def _(t: Tables) -> DataFrame:
     return localisation.localise_sites(t.indications(), _proposed(t), "precursor_id")
 
 
-@query("localize_effector", "precursor_id long, predict_start long, predict_end long, score double", ["recommended"], """
-SELECT precursor_id, p AS predict_start, end_p AS predict_end, best_sum AS score FROM recommended WHERE place_in_list = 1""")
-def _(t: Tables) -> DataFrame:
-    return localise.best_site(localisation.localise_sites(t.indications(), _proposed(t), "precursor_id"), "precursor_id")
-
-
-# Fixed values: (importance, correlation) of the features used to weigh candidates in the batch query
-WEIGHTS = {
-    "paired_percentage": (0.5, -0.25), "length_longest_bulge": (2.0, 0.5), "length_longest_loop": (4.0, 0.25),
-    "longest_paired_length": (1.0, 0.125), "NBtripletA": (8.0, -0.5), "dist_5p": (0.25, 0.0625),
+# known sites: the effectors of precursors whose document is labelled
+SITE_NUMBERS = {
+    "dist_5p": "CAST(b.start AS BIGINT)", "dist_3p": "CAST(length(p.precursor) - b.start - length(p.eff_seq) AS BIGINT)", "paired_percentage": PAIRED,
+    "length_longest_bulge": "coalesce(list_max(b3), 0)", "length_longest_loop": "coalesce(list_max(ll), 0)",
+    "longest_paired_length": "coalesce(list_max(pl), 0)", **{f"NBtriplet{m[0]}": motif_sql("site_seq", m) for m in MOTIFS},
 }
-view("candsite", ["cands"], """
-SELECT seq_id, i, len, find, substr(precursor, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS q, substr(fold, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS f
-FROM (SELECT *, greatest(find - 4, 0) AS a, least(find + length(cand) + 4, length(precursor)) AS b FROM cands)""")
-view("candscore", ["candsite"], rf"""
-SELECT seq_id, i, len, find, round(-0.125::DOUBLE * {pct("(100 * length(replace(f, '.', '')))", "length(f)")}
-  + 1.0::DOUBLE * greatest(coalesce(list_max(list_transform(regexp_extract_all(f, '\(\.+\('), lambda x: length(x) - 2)), 0),
-      coalesce(list_max(list_transform(regexp_extract_all(f, '\)\.+\)'), lambda x: length(x) - 2)), 0),
-      coalesce(list_max(list_transform(regexp_extract_all(f, '\)\.+\('), lambda x: length(x) - 2)), 0))
-  + 1.0::DOUBLE * coalesce(list_max(list_transform(regexp_extract_all(f, '\(\.+\)'), lambda x: length(x) - 2)), 0)
-  + 0.125::DOUBLE * coalesce(list_max(list_transform(regexp_extract_all(f, '[()]+'), lambda x: length(x))), 0)
-  - 4.0::DOUBLE * coalesce(list_sum(list_transform(regexp_extract_all(q, 'AAA+'), lambda x: length(x) - 2)), 0)
-  + 0.015625::DOUBLE * find, 6) AS score FROM candsite""")
-view("candfirst", ["candscore"], "SELECT seq_id, find AS pos, len, arg_min(score, i) AS score FROM candscore GROUP BY ALL")
+view("known", ["bulges", "folds"], f"""
+SELECT b.seq_id, l.quality = 1 AS known, {KMER_SQL}, {', '.join(f'{x} AS {c}' for c, x in SITE_NUMBERS.items())}
+FROM bulges b JOIN folds p ON p.seq_id = b.seq_id JOIN labels l ON l.doc_id = b.seq_id // 10000""")
+view("knownknots", ["known"], "SELECT " + ", ".join(f"quantile_cont({c}, {PROBS}) AS k_{c}" for c in SITE_NUMBERS) + " FROM known")
+view("knownscaled", ["known", "knownknots"], f"SELECT seq_id, known, {', '.join(_scaled_sql(c) for c in SITE_NUMBERS)} FROM known, knownknots")
+KMERS = [c.split(" ")[0] for c in KMER_COLS.split(", ")]
+view("knownentries", ["known", "knownscaled"], f"""
+SELECT known::INT AS y, col, cat, CAST(1 AS DECIMAL(18, 9)) AS v FROM (UNPIVOT (SELECT known, {', '.join(KMERS)} FROM known) ON {', '.join(KMERS)} INTO NAME col VALUE cat)
+UNION ALL
+SELECT known::INT, col, NULL, CAST(round(x, 9) AS DECIMAL(18, 9)) FROM (UNPIVOT (SELECT known, {', '.join(SITE_NUMBERS)} FROM knownscaled) ON {', '.join(SITE_NUMBERS)} INTO NAME col VALUE x)
+WHERE round(x, 9) <> 0""")
+view("siteevals", ["known", "knownentries"], """
+SELECT col, cat, concat_ws('_', col, cat) AS feature,
+  CASE WHEN e1 > 0 THEN (svy - e1) * (svy - e1) / e1 END + CASE WHEN e0 > 0 THEN ((sv - svy) - e0) * ((sv - svy) - e0) / e0 END AS importance,
+  CASE WHEN n * svv - sv * sv > 0 AND n * ones - ones * ones > 0
+       THEN (n * svy - sv * ones) / (sqrt(n * svv - sv * sv) * sqrt(n * ones - ones * ones)) END AS correlation
+FROM (SELECT *, ones / n * sv AS e1, (n - ones) / n * sv AS e0
+  FROM (SELECT col, cat, sum(v)::DOUBLE AS sv, sum(CASE WHEN y = 1 THEN v ELSE 0 END)::DOUBLE AS svy, sum(CAST(v * v AS DECIMAL(38, 18)))::DOUBLE AS svv
+        FROM knownentries GROUP BY col, cat),
+       (SELECT count(*)::DOUBLE AS n, count(*) FILTER (known)::DOUBLE AS ones FROM known))""")
+
+
+def _site_model(t: Tables) -> tuple[sites.SiteModel, DataFrame]:
+    """Weights of site features from the effectors of precursors whose document is labelled."""
+    labels = t.read("labels").select("doc_id", (F.col("quality") == 1).alias("known"))
+    site = structures.structure_window(t.folds()).withColumn("doc_id", F.expr("seq_id div 10000")).join(labels, "doc_id")
+    known = stored(sites.site_columns(site, ["seq_id", "known"]), "known_sites")
+    return localisation.train_site_model(known, "known", ["seq_id"])
+
+
+@query("site_evaluation_table", "feature string, importance double, correlation double", ["siteevals"], "SELECT * FROM siteevals")
+def _(t: Tables) -> DataFrame:
+    return _site_model(t)[1]
+
+
+_FRONT = [(f"{kind}{i + 1}{tail}", i + first, size) for size, tail in ((1, ""), (2, "di"), (3, "tri")) for kind, first in (("eff5p", 0), ("effmd", 9))
+          for i in range(5)]
+_BACK = [(f"eff3p{i + 1}{tail}", i, size) for size, tail in ((1, ""), (2, "di"), (3, "tri")) for i in range(5)]
+view("siteweights", ["siteevals"], "SELECT col, cat, correlation * importance AS w FROM siteevals WHERE correlation * importance IS NOT NULL")
+view("startsums", ["folds", "siteweights"], f"""
+SELECT seq_id, p, sum(w) AS w FROM (
+  SELECT seq_id, p, col, substr(precursor, CAST(p + off + 1 AS INT), size) AS cat
+  FROM (SELECT seq_id, precursor, unnest(range(0, length(precursor) - 20)) AS p FROM folds), (VALUES {', '.join(map(str, _FRONT))}) k(col, off, size))
+JOIN siteweights USING (col, cat) GROUP BY ALL""")
+view("endsums", ["folds", "siteweights"], f"""
+SELECT seq_id, q, sum(w) AS w FROM (
+  SELECT seq_id, q, col, substr(precursor, CAST(q - off - size + 1 AS INT), size) AS cat
+  FROM (SELECT seq_id, precursor, unnest(range(19, length(precursor) + 1)) AS q FROM folds), (VALUES {', '.join(map(str, _BACK))}) k(col, off, size))
+JOIN siteweights USING (col, cat) GROUP BY ALL""")
+_LONGEST = "coalesce(list_max(list_transform(regexp_extract_all(f, '{}'), lambda x: length(x) - {})), 0)"
+view("candnumbers", ["cands"], rf"""
+SELECT seq_id, i, len, i + length(cand) AS q, substr(cand, 1, 1) || substr(cand, length(cand) - 2, 1) AS pair, i AS dist_5p,
+  length(precursor) - i - length(cand) AS dist_3p, {pct("(100 * length(replace(f, '.', '')))", "length(f)")} AS paired_percentage,
+  greatest({_LONGEST.format(r'\(\.+\(', 2)}, {_LONGEST.format(r'\)\.+\)', 2)}, {_LONGEST.format(r'\)\.+\(', 2)}) AS length_longest_bulge,
+  {_LONGEST.format(r'\(\.+\)', 2)} AS length_longest_loop, {_LONGEST.format('[()]+', 0)} AS longest_paired_length,
+  {', '.join(motif_sql('s', m) + f' AS NBtriplet{m[0]}' for m in MOTIFS)}
+FROM (SELECT *, substr(precursor, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS s, substr(fold, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS f
+  FROM (SELECT *, greatest(i - 4, 0) AS a, least(i + length(cand) + 4, length(precursor)) AS b FROM cands WHERE find = i))""")
+view("candfirst", ["candnumbers", "knownknots", "siteweights", "startsums", "endsums"], f"""
+SELECT c.seq_id, c.i AS pos, c.len, round(coalesce(s.w, 0) + coalesce(e.w, 0) + coalesce(pr.w, 0)
+  + {' + '.join(f'coalesce(w.w_{x} * c.{x}, 0)' for x in SITE_NUMBERS)}, 6) AS score
+FROM (SELECT seq_id, i, len, q, pair, {', '.join(_scaled_sql(x) for x in SITE_NUMBERS)} FROM candnumbers, knownknots) c
+CROSS JOIN (SELECT {', '.join(f"max(w) FILTER (col = '{x}') AS w_{x}" for x in SITE_NUMBERS)} FROM siteweights WHERE cat IS NULL) w
+LEFT JOIN startsums s ON s.seq_id = c.seq_id AND s.p = c.i LEFT JOIN endsums e ON e.seq_id = c.seq_id AND e.q = c.q
+LEFT JOIN siteweights pr ON pr.col = 'eff5p1_3p3' AND pr.cat = c.pair""")
 view("candsums", ["candfirst"], """
 SELECT seq_id, place, round(sum(s), 6) AS s, round(sum(e), 6) AS e FROM (
   SELECT seq_id, pos AS place, score AS s, 0.0::DOUBLE AS e FROM candfirst
   UNION ALL SELECT seq_id, pos + len - 1, 0.0::DOUBLE, score FROM candfirst) GROUP BY ALL""")
+view("candstarts", ["candsums", "candfirst"], """
+SELECT st.seq_id, st.p, st.l, round(coalesce(a.s, 0) + coalesce(b.e, 0), 6) AS v
+FROM (SELECT seq_id, p, unnest([19, 20, 21, 22, 23]) AS l FROM (SELECT DISTINCT seq_id, pos AS p FROM candfirst)) st
+LEFT JOIN candsums a ON a.seq_id = st.seq_id AND a.place = st.p
+LEFT JOIN candsums b ON b.seq_id = st.seq_id AND b.place = st.p + st.l - 1""")
 
 
-@query("localize_batch", "seq_id long, predict_start long, predict_end long, score double", ["candsums", "candfirst"], """
+@query("localize_batch", "seq_id long, predict_start long, predict_end long, score double", ["candstarts"], """
 SELECT seq_id, first(p ORDER BY v DESC, p, l) AS predict_start, first(p + l - 1 ORDER BY v DESC, p, l) AS predict_end, max(v) AS score
-FROM (SELECT st.seq_id, st.p, st.l, round(coalesce(a.s, 0) + coalesce(b.e, 0), 6) AS v
-  FROM (SELECT seq_id, p, unnest([19, 20, 21, 22, 23]) AS l FROM (SELECT DISTINCT seq_id, pos AS p FROM candfirst)) st
-  LEFT JOIN candsums a ON a.seq_id = st.seq_id AND a.place = st.p
-  LEFT JOIN candsums b ON b.seq_id = st.seq_id AND b.place = st.p + st.l - 1) GROUP BY seq_id""")
+FROM candstarts GROUP BY seq_id""")
+def _(t: Tables) -> DataFrame:
+    return localisation.localise_table(t.folds(), "seq_id", _site_model(t)[0])
+
+
+# starts proposed beforehand: those of the annotated effectors, where these are found
+@query("localize_effector", "seq_id long, predict_start long, predict_end long, score double", ["candstarts", "folds"], """
+SELECT c.seq_id, first(p ORDER BY p = instr(precursor, eff_seq) - 1 DESC, v DESC, p, l) AS predict_start,
+  first(p + l - 1 ORDER BY p = instr(precursor, eff_seq) - 1 DESC, v DESC, p, l) AS predict_end,
+  first(v ORDER BY p = instr(precursor, eff_seq) - 1 DESC, v DESC, p, l) AS score
+FROM candstarts c JOIN folds f ON f.seq_id = c.seq_id GROUP BY c.seq_id""")
 def _(t: Tables) -> DataFrame:
-    return localisation.localise_table(t.folds(), "seq_id", WEIGHTS)
+    precursors = t.folds()
+    proposed = precursors.select("seq_id", (F.instr("precursor", F.col("eff_seq")) - 1).alias("position"))
+    return localisation.localise_table(precursors, "seq_id", _site_model(t)[0], proposed)
 
 
 LEAVE_OUT = ["doc_id"]

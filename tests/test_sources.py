@@ -153,17 +153,68 @@ def test_localisation_against_brute_force(spark):
         assert got[k] == listed
 
 
-def test_batch_keeps_the_first_of_repeated_candidates(spark):
-    pre = spark.createDataFrame([(1, "ACGTA" * 12, "(((((" * 5 + "." * 10 + ")))))" * 5), (2, "ACG", "...")], "id int, precursor string, fold string")
-    weights = {"paired_percentage": (1.0, 0.5), "dist_5p": (0.5, 0.25)}
-    fast = {r["id"]: (r["predict_start"], r["predict_end"], r["score"]) for r in localisation.localise_table(pre, "id", weights).collect()}
-    sites = localisation.candidate_sites(pre, "id")
-    from phasegrid.functions.structure import paired_percentage
-
-    slow = sites.select("id", F.col("dist_5p").alias("pos"), "len", F.col("i").alias("ordinal"),
-                        F.round(paired_percentage(F.col("site_fold")) * 0.5 + F.col("dist_5p") * 0.125, 6).alias("score"))
-    best = localise.best_site(localisation.localise_sites(slow, None, "id"), "id").first()
-    assert fast[1] == (best["predict_start"], best["predict_end"], best["score"]) and fast[2] == (None, None, None)
+def _site_model(rnd):
+    """Weights for some of everything, knots with ties."""
+    from phasegrid.operators import sites
+
+    kmers = {}
+    for size, tail in ((1, ""), (2, "di"), (3, "tri")):
+        for kind in ("eff5p", "eff3p", "effmd"):
+            for i in range(1, 6):
+                kmers[f"{kind}{i}{tail}"] = {"".join(rnd.choice("ACGT") for _ in range(size)): rnd.random() - 0.5 for _ in range(5)}
+    kmers["eff5p1_3p3"] = {"AC": 0.25, "GG": -0.75}
+    numeric = {n: (sorted(rnd.choice([0, 1, 2, 3, 5, 8, 20, 55.5]) for _ in range(10)), rnd.random() - 0.5) for n in sites.NUMERIC}
+    return sites.SiteModel(kmers, numeric)
+
+
+def test_sites_are_those_of_columns_made_one_by_one(spark):
+    """Every candidate as a row with the columns that ``site_columns`` gives known sites, weighed and ranked by plain code."""
+    from phasegrid.operators import sites, structures
+    from phasegrid.operators.encode import quantile_scaled
+
+    rnd = random.Random(7)
+    model = _site_model(rnd)
+    data = [(1, "ACGTA" * 12, "(((((" * 5 + "." * 10 + ")))))" * 5), (2, "ACG", "..."), (3, None, None), (4, "A" * 40, "." * 40), (5, "", "")]
+    for k in range(6, 12):
+        n = rnd.randint(21, 60)
+        data.append((k, "".join(rnd.choice("ACGTN" if k > 7 else "ACGTNXa") for _ in range(n)), "".join(rnd.choice("(..).()") for _ in range(n))))
+    pre = spark.createDataFrame(data, "id int, precursor string, fold string").repartition(3)
+    cands = localise.sliding_candidates(pre.filter("precursor IS NOT NULL"), "id", "precursor", 21, ["precursor", "fold"]).filter("find = i")
+    rows_of = sites.site_columns(structures.structure_window(cands.withColumnRenamed("cand", "eff_seq")), ["id", "i", "len"])
+    numbers = [quantile_scaled(F.col(n).cast("double"), k).alias(f"s_{n}") for n, (k, _) in model.numeric.items()]
+    score = {}
+    for r in rows_of.select("*", *numbers).collect():
+        v = sum(w.get(r[c], 0.0) for c, w in model.kmers.items() if r[c] is not None) + sum(w * r[f"s_{n}"] for n, (_, w) in model.numeric.items())
+        score.setdefault(r.id, {})[(r.i, r.len)] = round(v, 6)
+    want = {}
+    for k, found in score.items():
+        s = lambda p: round(sum(found.get((p, l), 0) for l in range(19, 24)), 6)
+        e = lambda q: round(sum(found.get((q - l + 1, l), 0) for l in range(19, 24)), 6)
+        listed = [(p, *max((round(s(p) + e(p + l - 1), 6), -l) for l in range(19, 24))) for p in sorted({p for p, _ in found})]
+        want[k] = [(p, pytest.approx(v, abs=2e-6), -l) for p, v, l in sorted(listed, key=lambda x: (-x[1], x[0]))]
+    ranked = sites.ranked_starts(pre, model)
+    got = {r.id: [(x.p, x.best_sum, x.best_len) for x in r.ranked] for r in ranked.collect()}
+    assert {k: v for k, v in got.items() if v} == want and set(got) == {r[0] for r in data}
+    predicted = spark.createDataFrame([(4, 3), (6, 0), (6, 2), (6, 99)], "id int, position long")
+    cut = {r.id: [x.p for x in r.ranked] for r in localisation.recommended_starts(ranked, "id", predicted).collect()}
+    order = [p for p, _, _ in got[6]]
+    assert cut[6] == ([p for p in order if p in (0, 2)] + [p for p in order if p not in (0, 2)])[:6]
+    assert cut[4] == [p for p, _, _ in got[4]] and cut[1] == [p for p, _, _ in got[1]]
+    best = {r.id: (r.predict_start, r.predict_end) for r in localisation.localise_table(pre, "id", model, predicted).collect()}
+    assert best[2] == best[3] == best[5] == (None, None) and best[6][0] == cut[6][0]
+
+
+def test_a_site_model_is_made_of_known_sites(spark):
+    from phasegrid.operators import sites, structures
+
+    rnd = random.Random(8)
+    data = [(k, "".join(rnd.choice("ACGT") for _ in range(80)), "." * 80) for k in range(200)]
+    df = spark.createDataFrame(data, "id int, precursor string, fold string").withColumn("eff_seq", F.substring("precursor", 31, 21))
+    known = sites.site_columns(structures.structure_window(df), ["id"]).withColumn("y", F.col("eff5p1") == "A")
+    model, table = localisation.train_site_model(known, "y", ["id"])
+    assert table.count() > 500 and sum(map(len, model.kmers.values())) > 400
+    heaviest = max(((abs(w), c, k) for c, ws in model.kmers.items() for k, w in ws.items()))
+    assert heaviest[1:] == ("eff5p1", "A")
 
 
 def test_tables(spark):
