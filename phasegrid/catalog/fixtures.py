@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from ..sources import text
+
 # How letters become nucleotides, and the sizes of the stand-ins.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
@@ -79,6 +82,12 @@ class Tables:
             F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq")
         )
 
+    def fasta_tiles(self) -> DataFrame:
+        """The same tiles, written as sequence text and read again."""
+        path = scratch_path(self.spark, "genome")
+        text.write_genome(self.genome_tiles(), path)
+        return text.fasta_tiles(self.spark, path, TILE)
+
     def reads(self) -> DataFrame:
         base = (F.col("l_partkey") * 21) % 30000
         phased = F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey") % 5).otherwise(F.lit(2))

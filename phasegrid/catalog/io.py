@@ -43,6 +43,11 @@ def _(t: Tables) -> DataFrame:
     return text.read_fasta(t.spark, path, "ath")
 
 
+@query("fasta_tiles", "chr string, tile long, seq string", ["genome"], "SELECT * FROM genome")
+def _(t: Tables) -> DataFrame:
+    return t.fasta_tiles()
+
+
 @query("scan_feature_table", "doc_id long, lang string, source string, n_chars double, n_letters double, n_gc double, "
        "consistent boolean, toxic boolean", ["features"], "SELECT * FROM features")
 def _(t: Tables) -> DataFrame:

@@ -92,11 +92,11 @@ def region_sql() -> str:
 FROM starts s JOIN whole USING (chr)"""
 
 
-def _regions(t: Tables) -> DataFrame:
+def _regions(t: Tables, tiles: DataFrame | None = None) -> DataFrame:
     starts = t.reads().select("chr", "pos", "flag").distinct()
     strand = F.when(F.col("flag") == 16, "C").otherwise("W")
     wanted = {"seq": (F.col("pos"), F.col("pos") + segments.SCAN - 1, strand)}
-    return genome.fetch_regions(starts, t.genome_tiles(), TILE, ["chr", "pos", "flag"], wanted)
+    return genome.fetch_regions(starts, tiles or t.genome_tiles(), TILE, ["chr", "pos", "flag"], wanted)
 
 
 @query("fetch_region", "chr string, pos long, flag int, seq string", ["starts", "whole"], region_sql())
@@ -104,6 +104,11 @@ def _(t: Tables) -> DataFrame:
     return _regions(t)
 
 
+@query("fetch_region_fasta", "chr string, pos long, flag int, seq string", ["starts", "whole"], region_sql())
+def _(t: Tables) -> DataFrame:
+    return _regions(t, t.fasta_tiles())
+
+
 view("segseq", ["segs", "whole"], f"""
 SELECT *, CASE WHEN instr(precursor, eff_seq) > 0 THEN instr(precursor, eff_seq) - 1 ELSE -1 END AS dist_5p
 FROM (SELECT s.*,
@@ -271,6 +276,16 @@ def _(t: Tables) -> DataFrame:
     return overlap.base_composition(_segs(t), t.alignments(), SK)
 
 
+@query("base_composition_counted", f"{K}, eff_pos long, total_frq_DicerCall long, A% double, C% double, G% double, T% double, GC% double",
+       ["comp"], f"""
+SELECT {SKS}, tot AS "total_frq_DicerCall", {', '.join(f'{pct(f"(100 * n{b.lower()})", "tot")} AS "{b}%"' for b in 'ACGT')},
+  round("G%" + "C%", 2) AS "GC%" FROM comp""")
+def _(t: Tables) -> DataFrame:
+    reads = t.alignments()
+    counted = reads.groupBy(*reads.columns).agg(F.count(F.lit(1)).alias("times"))
+    return overlap.base_composition(_segs(t), counted, SK, weight="times")
+
+
 def _slot(at: int) -> str:
     return f"substr(own, {at + 1}, 1)" if at >= 0 else f"substr(own, length(own) + {at + 1}, 1)"
 

@@ -348,6 +348,25 @@ def _both_strands(t: Tables) -> DataFrame:
     return docs.select(F.inline(sides))
 
 
+# every word of a target beside the words at the beginnings of a query's three parts; the whole stretch is compared
+view("qparts", ["queries21"], f"""
+SELECT ordinal, name, rc, q_at, substr(rc, CAST(q_at + 1 AS INT), 6) AS word
+FROM (SELECT ordinal, name, rc, unnest([0, length(rc) // 3, 2 * (length(rc) // 3)]) AS q_at
+      FROM (SELECT ordinal, name, {sql_revcomp('seq')} AS rc FROM queries21 WHERE name LIKE 'ath%' AND length(seq) >= 18))""")
+view("stretches", ["bothstrands", "qparts"], """
+SELECT DISTINCT doc_id, ordinal, name, r_at - q_at + 1 AS r_start, r_at - q_at + length(rc) AS r_end, hamming(piece, rc) AS mismatches
+FROM (SELECT *, substr(s, CAST(r_at - q_at + 1 AS INT), CAST(length(rc) AS INT)) AS piece
+      FROM (SELECT doc_id, s, r_at, substr(s, CAST(r_at + 1 AS INT), 6) AS word
+            FROM (SELECT doc_id, s, unnest(range(0, length(s) - 5)) AS r_at FROM bothstrands)) JOIN qparts USING (word)
+      WHERE r_at >= q_at AND r_at - q_at + length(rc) <= length(s))
+WHERE hamming(piece, rc) <= 2""")
+
+
+@query("target_mismatch_join", "doc_id long, ordinal long, name string, r_start int, r_end int, mismatches int", ["stretches"], "SELECT * FROM stretches")
+def _(t: Tables) -> DataFrame:
+    return targets.target_mismatches(_both_strands(t), targets.of_species(t.queries21(), "ath"), "doc_id", "s")
+
+
 @query("target_search_join", "doc_id long, ordinal long, name string, r_start int, r_end int, q_start int, score int",
        ["runs"], "SELECT * FROM runs")
 def _(t: Tables) -> DataFrame:

@@ -270,3 +270,9 @@ def _(t: Tables) -> DataFrame:
 @query("phased_windows", WINDOW_COLS, ["phased"], "SELECT * FROM phased")
 def _(t: Tables) -> DataFrame:
     return phasing.phased_windows(t.reads())
+
+
+@query("phased_windows_counted", WINDOW_COLS, ["phased"], "SELECT * FROM phased")
+def _(t: Tables) -> DataFrame:
+    reads = t.reads()
+    return phasing.phased_windows(reads.groupBy(*reads.columns).agg(F.count(F.lit(1)).alias("times")), weight="times")

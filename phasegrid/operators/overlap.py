@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_ratio
 from ..functions.sequence import reverse_complement
 from ..params import DICER
+from .windows import times
 
 BIN = 2000
 
@@ -52,26 +53,30 @@ def overlap_join(segments: DataFrame, reads: DataFrame, bin_size: int = BIN, how
     return s.join(r, pair, how).select(*own, *theirs)
 
 
-def read_counts(reads: DataFrame) -> DataFrame:
-    """Reads per (library, chr, pos, len, flag)."""
-    return reads.groupBy("library", "chr", "pos", "len", "flag").agg(F.count(F.lit(1)).alias("n_reads"))
+def read_counts(reads: DataFrame, weight: str | None = None) -> DataFrame:
+    """Reads per (library, chr, pos, len, flag); a row stands for ``weight`` of them."""
+    present = reads.filter(F.col(weight) >= 1) if weight else reads
+    return present.groupBy("library", "chr", "pos", "len", "flag").agg(times(F.lit(True), weight).alias("n_reads"))
 
 
-def letter_totals(reads: DataFrame, dicer: int = DICER) -> DataFrame:
+def letter_totals(reads: DataFrame, dicer: int = DICER, weight: str | None = None) -> DataFrame:
     """Base and slot counts of the reads of exactly ``dicer`` bases, per (library, chr, pos, len).
 
-    The composition uses the stored orientation, the slots use the read's own.
+    The composition uses the stored orientation, the slots use the read's own. A row
+    stands for ``weight`` equal reads, none if that is NULL or less than one.
     """
     exact = reads.filter(F.col("len") == dicer)
+    if weight:
+        exact = exact.filter(F.col(weight) >= 1)
     own = F.when(F.col("flag") == 16, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     placed = exact.withColumn("_own", own)
     aggs = []
     for b in BASES:
         hits = F.length("seq") - F.length(F.replace(F.col("seq"), F.lit(b), F.lit("")))
-        aggs.append(F.sum(hits).cast("long").alias(f"n_{b}"))
+        aggs.append(F.sum(hits * F.col(weight) if weight else hits).cast("long").alias(f"n_{b}"))
     for slot, at in SLOTS.items():
         letter = F.substring("_own", at + 1 if at >= 0 else at, 1)
-        aggs += [F.count_if(letter == b).alias(f"n_{slot}{b}") for b in BASES]
+        aggs += [times(letter == b, weight).alias(f"n_{slot}{b}") for b in BASES]
     return placed.groupBy("library", "chr", "pos", "len").agg(*aggs)
 
 
@@ -79,9 +84,9 @@ def _share(count: str, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(round_ratio(F.col(count) * 100, total, 2))
 
 
-def _totals(segments: DataFrame, reads: DataFrame, key: list[str], columns: list[str], dicer: int) -> DataFrame:
+def _totals(segments: DataFrame, reads: DataFrame, key: list[str], columns: list[str], dicer: int, weight: str | None) -> DataFrame:
     """Sums of the read counts per segment, zeros where no read overlaps."""
-    summed = letter_totals(reads, dicer).select("library", "chr", "pos", "len", *columns)
+    summed = letter_totals(reads, dicer, weight).select("library", "chr", "pos", "len", *columns)
     hits = overlap_join(segments.select(*key, "L_bound", "R_bound"), summed, how="left")
     return hits.groupBy(*key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
 
@@ -105,17 +110,23 @@ def _slots() -> list[Column]:
     return out
 
 
-def base_composition(segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER) -> DataFrame:
+def base_composition(
+    segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER, weight: str | None = None
+) -> DataFrame:
     """Number of bases in the overlapping reads, and their percentages; zeros where there is no read."""
-    return _totals(segments, reads, key, _BASE_COLUMNS, dicer).select(*key, *_composition())
+    return _totals(segments, reads, key, _BASE_COLUMNS, dicer, weight).select(*key, *_composition())
 
 
-def positional_bases(segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER) -> DataFrame:
+def positional_bases(
+    segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER, weight: str | None = None
+) -> DataFrame:
     """Percentage of every base at fifteen places of the overlapping reads: sixty columns."""
-    return _totals(segments, reads, key, _SLOT_COLUMNS, dicer).select(*key, *_slots())
+    return _totals(segments, reads, key, _SLOT_COLUMNS, dicer, weight).select(*key, *_slots())
 
 
-def read_statistics(segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER) -> DataFrame:
+def read_statistics(
+    segments: DataFrame, reads: DataFrame, key: list[str], dicer: int = DICER, weight: str | None = None
+) -> DataFrame:
     """``base_composition`` and ``positional_bases`` from one pass over the reads."""
-    sums = _totals(segments, reads, key, _BASE_COLUMNS + _SLOT_COLUMNS, dicer)
+    sums = _totals(segments, reads, key, _BASE_COLUMNS + _SLOT_COLUMNS, dicer, weight)
     return sums.select(*key, *_composition(), *_slots())

@@ -17,20 +17,30 @@ from ..params import CONTIG_KEYS, CYCLE, DICER, DRIFT
 from .tiling import shifted_position
 
 
-def position_frequency(contig_reads: DataFrame, dicer: int = DICER) -> DataFrame:
+def times(condition: Column, weight: str | None) -> Column:
+    """How many reads meet a condition: rows, or the sum of what they stand for."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight)).otherwise(0)), F.lit(0)).cast("long")
+
+
+def position_frequency(contig_reads: DataFrame, dicer: int = DICER, weight: str | None = None) -> DataFrame:
     """Counts per contig and shifted position: reads of ``dicer`` bases and of any length.
 
     Reads whose flag gives no strand appear with a NULL position, so that the
-    sum of ``n_reads`` over a contig is its number of reads.
+    sum of ``n_reads`` over a contig is its number of reads. A row stands for
+    ``weight`` equal reads, none if that is NULL or less than one.
     """
     placed = contig_reads.withColumn("p", shifted_position(F.col("flag"), F.col("pos")))
     watson, crick, exact = F.col("flag") == 0, F.col("flag") == 16, F.col("len") == dicer
+    if weight:
+        placed = placed.filter(F.col(weight) >= 1)
     return placed.groupBy(*CONTIG_KEYS, F.col("p").alias("pos")).agg(
-        F.count_if(watson & exact).alias("w"),
-        F.count_if(crick & exact).alias("c"),
-        F.count_if(watson).alias("w_all"),
-        F.count_if(crick).alias("c_all"),
-        F.count(F.lit(1)).alias("n_reads"),
+        times(watson & exact, weight).alias("w"),
+        times(crick & exact, weight).alias("c"),
+        times(watson, weight).alias("w_all"),
+        times(crick, weight).alias("c_all"),
+        times(F.lit(True), weight).alias("n_reads"),
     )
 
 

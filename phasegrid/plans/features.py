@@ -34,10 +34,10 @@ def with_fold(df: DataFrame, columns: dict[str, str], fold_fn: Callable[[pd.Seri
 
 
 def phased_segments(
-    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10
+    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None
 ) -> DataFrame:
-    """Reads to consolidated segments with adjusted probabilities, tails and votes."""
-    windows = phased_windows(reads, cycle, dicer, drift, min_windows)
+    """Reads to consolidated segments with adjusted probabilities, tails and votes; a row stands for ``weight`` reads."""
+    windows = phased_windows(reads, cycle, dicer, drift, min_windows, weight)
     # ranks, fits and the vote each need the segments, a small table, but not the reads again
     return significant(stored(segments.consolidate(windows), "segments"))
 

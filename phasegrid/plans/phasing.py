@@ -16,9 +16,11 @@ WINDOW_COLUMNS = [
 ]
 
 
-def window_candidates(reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT) -> DataFrame:
-    """Every position that opens a window, with its totals, slots and effector."""
-    freq = windows.position_frequency(tiling.assign_contigs(reads), dicer)
+def window_candidates(
+    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, weight: str | None = None
+) -> DataFrame:
+    """Every position that opens a window, with its totals, slots and effector; a row stands for ``weight`` reads."""
+    freq = windows.position_frequency(tiling.assign_contigs(reads), dicer, weight)
     total = F.sum("n_reads").over(windows._contig())
     placed = freq.withColumn("contig_frq", total).filter(F.col("pos").isNotNull())
     placed = windows.effector_coordinate(placed, drift)
@@ -27,7 +29,7 @@ def window_candidates(reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER,
 
 
 def phased_windows(
-    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10
+    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None
 ) -> DataFrame:
     """All windows worth reporting, with scores and extended segments.
 
@@ -35,7 +37,7 @@ def phased_windows(
     is the expensive step.
     """
     keep = windows.high_potential()
-    found = windows.having_min_windows(window_candidates(reads, cycle, dicer, drift), keep, min_windows)
+    found = windows.having_min_windows(window_candidates(reads, cycle, dicer, drift, weight), keep, min_windows)
     carried = ["pos", F.col("f").alias("freq"), F.col("w").alias("frqw"), F.col("c").alias("frqc"),
                "k", "n", "n_all", "p", "u", "u_all", "maxf", "Wfreq", "Cfreq", "contig_frq"]
     segments = windows.extend_blocks(found, keep, carried, cycle, dicer)

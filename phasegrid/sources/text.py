@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,71 @@ def read_fasta(spark: SparkSession, path: str, species: str | None = None) -> Da
     return out.filter(F.col("name").startswith(species)) if species else out
 
 
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, off, seq) of every sequence line: its record, and the bases of the record before it.
+
+    A file is read line by line by as many tasks as it has splits, and no record is
+    ever one row. Inside a split, places are running sums. Of every split the last
+    header and the bases after it are passed on, one row per split; from those the
+    later splits learn which record they begin in, and where. Lines before any
+    header belong to no record and go; so do empty ones.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").startswith(">").alias("head"),
+        F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("title"), F.regexp_replace("value", r"\s", "").alias("seq"),
+    )
+    upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = lines.withColumn("n", F.when(F.col("head"), 0).otherwise(F.length("seq")).cast("long")).withColumns({
+        "heads": F.sum(F.col("head").cast("long")).over(upto),
+        "name": F.last(F.when(F.col("head"), F.col("title")), ignorenulls=True).over(upto),
+    })
+    section = Window.partitionBy("file", "split", "heads").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("inside", F.coalesce(F.sum("n").over(section), F.lit(0)))
+    ends = placed.groupBy("file", "split").agg(
+        F.max_by(F.struct("heads", "name", (F.col("inside") + F.col("n")).alias("tail")), "at").alias("e")).select("file", "split", "e.*")
+    earlier = Window.partitionBy("file").orderBy("split")
+    groups = ends.withColumn("g", F.sum((F.col("heads") > 0).cast("long")).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("file", "g").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    carried = groups.withColumn("sum", F.sum("tail").over(run)).select(
+        F.col("file").alias("f"), F.col("split").alias("s"),
+        F.last("name", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("from_name"),
+        F.coalesce(F.lag("sum").over(earlier), F.lit(0)).alias("from_off"),
+    )
+    joined = placed.join(carried, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    own = F.col("heads") > 0
+    return joined.filter(~F.col("head") & (F.col("n") > 0)).select(
+        "file", F.when(own, F.col("name")).otherwise(F.col("from_name")).alias("name"),
+        (F.col("inside") + F.when(own, 0).otherwise(F.col("from_off"))).alias("off"), "seq",
+    ).filter(F.col("name").isNotNull())
+
+
+def fasta_tiles(spark: SparkSession, path: str, tile_size: int) -> DataFrame:
+    """(chr, tile, seq): the records of a genome cut every ``tile_size`` bases, the last tile shorter.
+
+    ``chr`` is the first word of a record's header, which names one record only.
+    """
+    lines = fasta_lines(spark, path)
+    first, last = F.floor(F.col("off") / tile_size), F.floor((F.col("off") + F.length("seq") - 1) / tile_size)
+    pieces = lines.select("name", "off", "seq", F.explode(F.sequence(first, last)).alias("tile")).select(
+        F.col("name").alias("chr"), "tile", F.greatest("off", F.col("tile") * tile_size).alias("place"),
+        F.expr(f"substring(seq, cast(greatest(tile * {tile_size} - off, 0) + 1 as int),"
+               f" cast((tile + 1) * {tile_size} - greatest(off, tile * {tile_size}) as int))").alias("piece"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("place", "piece")))
+    return pieces.groupBy("chr", "tile").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq"))
+
+
+def write_genome(tiles: DataFrame, path: str) -> None:
+    """Tiles (chr, tile, seq) as sequence text, a file per chromosome or more of them, a line per tile.
+
+    The lines of a record have an order, so one task writes it, line by line.
+    """
+    heads = tiles.select("chr").distinct().select("chr", F.lit(-1).cast("long").alias("tile"), F.concat(F.lit(">"), F.col("chr")).alias("value"))
+    lines = heads.unionByName(tiles.select("chr", F.col("tile").cast("long").alias("tile"), F.col("seq").alias("value")))
+    lines.repartition("chr").sortWithinPartitions("chr", "tile").select("value").write.text(path)
+
+
 def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq", width: int = 60) -> None:
     wrapped = F.regexp_replace(F.col(seq), f"(.{{{width}}})(?=.)", "$1\n")
     df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), wrapped).alias("value")).write.text(path)

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from phasegrid.operators import evaluation, localise, overlap, segments, tables, targets
+from phasegrid.operators import evaluation, localise, overlap, segments, tables, targets, tiling
 from phasegrid.operators.genome import fetch_regions
 from phasegrid.plans import localisation
 from phasegrid.session import scratch_path
@@ -153,6 +153,89 @@ def test_localisation_against_brute_force(spark):
         assert got[k] == listed
 
 
+def test_a_record_larger_than_a_split_becomes_tiles(spark):
+    rnd = random.Random(5)
+    records = {f"c{k}": "".join(rnd.choice("ACGT") for _ in range(rnd.choice([0, 7, 60, 999, 1000, 25_000]))) for k in range(14)}
+    folder = tempfile.mkdtemp(prefix="genome-")
+    names = list(records)
+    for number, part in enumerate((names[:1], names[1:6], names[6:])):
+        with open(os.path.join(folder, f"g{number}.fa"), "w") as f:
+            f.write("stray line\n\n" if number == 1 else "")
+            for name in part:
+                f.write(f">{name} some words\n")
+                at, seq = 0, records[name]
+                while at < len(seq):
+                    n = rnd.choice([1, 59, 60, 61, 200])
+                    f.write(seq[at:at + n] + rnd.choice(["\n", " \n", "\r\n", "\n\n"]))
+                    at += n
+    open(os.path.join(folder, "empty.fa"), "w").close()
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    small.conf.set("spark.sql.files.openCostInBytes", "1")
+    want = {(n, i // 1000): seq[i:i + 1000] for n, seq in records.items() for i in range(0, len(seq), 1000)}
+    for session in (small, spark):
+        tiles = text.fasta_tiles(session, folder, 1000)
+        assert {(r.chr, r.tile): r.seq for r in tiles.collect()} == want and tiles.count() == len(want)
+    assert text.fasta_lines(small, folder).select("off").distinct().count() > 300
+
+
+def test_counted_reads_are_those_written_out(spark):
+    from phasegrid.operators import windows
+    from phasegrid.plans import phasing
+
+    rnd = random.Random(3)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (21, 21, 21, 22, 19)]
+    counted = []
+    for _ in range(400):
+        s = rnd.choice(seqs)
+        counted.append(("l", rnd.choice([0, 16, 4]), "chr1", 1 + 21 * rnd.randint(0, 40) + rnd.choice([0, 0, 0, 1, 2]), len(s), s, rnd.choice([0, 1, 2, 7, None])))
+    df = spark.createDataFrame(counted, "library string, flag int, chr string, pos long, len int, seq string, times long")
+    written = text.expand_counts(df, count="times")
+    segs = spark.createDataFrame([("l", "chr1", 0, 5, 1, 300), ("l", "chr1", 0, 9, 5000, 5100)], "library string, chr string, tile int, eff_pos int, L_bound long, R_bound long")
+    for make in (
+        lambda d, w: windows.position_frequency(tiling.assign_contigs(d), weight=w),
+        lambda d, w: phasing.phased_windows(d, min_windows=1, weight=w),
+        lambda d, w: overlap.read_counts(d, w),
+        lambda d, w: overlap.read_statistics(segs, d, ["library", "chr", "tile", "eff_pos"], weight=w),
+    ):
+        a, b = sorted(rows(make(df, "times")), key=repr), sorted(rows(make(written, None)), key=repr)
+        assert a == b and a
+
+
+def test_targets_with_mismatches_are_all_found(spark):
+    rnd = random.Random(6)
+    queries = [(k, f"q{k}", "".join(rnd.choice("ACGT") for _ in range(rnd.choice([17, 18, 19, 21, 30])))) for k in range(25)]
+    queries.append((90, "hot", "A" * 21))
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    docs = [(0, "T" * 300), (1, ""), (2, None)]
+    for k in range(3, 30):
+        s = "".join(rnd.choice("ACGT") for _ in range(120))
+        for _ in range(3):
+            site = list(flip(rnd.choice(queries)[2]))
+            for at in rnd.sample(range(len(site)), rnd.randint(0, 4)):
+                site[at] = rnd.choice("ACGTN")
+            at = rnd.choice([0, rnd.randint(0, 90), len(s) - len(site)])
+            s = s[:at] + "".join(site) + s[at + len(site):]
+        docs.append((k, s.lower() if k % 5 == 0 else s))
+    t = spark.createDataFrame(docs, "id int, s string").repartition(4)
+    q = spark.createDataFrame(queries, "ordinal int, name string, seq string")
+    for m in (0, 1, 2, 3):
+        want = set()
+        for i, s in docs:
+            for o, name, seq in queries:
+                rc = flip(seq)
+                for at in range(len(s or "") - len(rc) + 1):
+                    wrong = sum(x != y for x, y in zip(s.upper()[at:at + len(rc)], rc))
+                    if len(rc) >= 18 and wrong <= m:
+                        want.add((i, o, name, at + 1, at + len(rc), wrong))
+        # the words are sent to all tasks, or salted and shuffled
+        found = targets.target_mismatches(t, q, "id", "s", m, sent_bytes=1 << 20 if m % 2 else 0)
+        found = found.select("id", "ordinal", "name", "r_start", "r_end", "mismatches").collect()
+        assert len(found) == len(want) > 280 and set(map(tuple, found)) == want
+    hot = targets.target_mismatches(t, q, "id", "s").filter("ordinal = 90 AND id = 0")
+    assert hot.count() == 280
+
+
 def _site_model(rnd):
     """Weights for some of everything, knots with ties."""
     from phasegrid.operators import sites
