@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,46 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
+#: paths written inside each open ``scratch`` block, the innermost last
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write below the shared folder and read back: later steps do not repeat the work, and lineage ends here."""
+    """Write below the shared folder and read back: later steps do not repeat the work, and lineage ends here.
+
+    Inside a ``scratch`` block the table lives as long as the block.
+    """
     path = scratch_path(df.sparkSession, re.sub(r"\W", "_", name))
+    for paths in _OPEN.get()[-1:]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose stored tables are removed at its end.
+
+    The block's value stores a table outside of it, in the block around it if
+    there is one: what is to outlast the block. Frames that still read a table of
+    the block fail afterwards.
+    """
+    before = _OPEN.get()
+    own: list[str] = []
+    mark = _OPEN.set((*before, own))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _OPEN.set(before)
+        try:
+            return store(df, name)
+        finally:
+            _OPEN.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(mark)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)

@@ -11,13 +11,15 @@ fingerprints are one class before that, so copies never meet each other.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, store
+from .common import id_text, map_rows, scratch, store
 from .components import components
 
 SEED = 42
@@ -120,13 +122,16 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies by similarity: least hashes of a text's shingles propose pairs, the shingles themselves decide.
+# Near copies by similarity: least hashes of a text's shingles find the texts that may have a partner; each is compared
+# with one of those it meets; what is not in one group then is compared where rare shingles meet.
 
 #: A text has so many keys, each made of so many least hashes: texts of similarity s share none of the keys with
 #: probability (1 - s ** LEAST) ** KEYS, which is 0.00015 at 0.8, 2e-7 at 0.85 and less above
 KEYS, LEAST = 48, 8
 #: shingles whose hashes are multiplied at once
 BLOCK = 128
+#: counters of how often shingles occur, by hash; a fixed size whatever the corpus
+COUNTERS = 1 << 18
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, KEYS * LEAST), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -137,58 +142,120 @@ def _mixed(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def _hashes(text: str, words: int) -> tuple[bytes, np.ndarray]:
+    """(the words, space-joined; hash of each shingle): fewer words are one shingle, none give none."""
+    w = text.encode().lower().split()
+    if len(w) < words:
+        shingles = [b" ".join(w)] if w else []
+    else:
+        shingles = list(map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False)))
+    return b" ".join(w), np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles))
+
+
 def sketch(text: str, words: int) -> tuple[bytes, list[int]]:
     """(128-bit hash of the word sequence, KEYS keys of the shingle set); a text without words has no keys."""
-    w = text.encode().lower().split()
-    own = xxhash.xxh3_128_digest(b" ".join(w))
-    if not w:
+    joined, hashes = _hashes(text, words)
+    own = xxhash.xxh3_128_digest(joined)
+    if not len(hashes):
         return own, []
-    shingles = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False)))
     least = np.full(KEYS * LEAST, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), BLOCK):
-        part = shingles[at:at + BLOCK]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in part), np.uint64, len(part))
-        np.minimum(least, (h[:, None] * _ODD[0]).min(axis=0), out=least)
+    for at in range(0, len(hashes), BLOCK):
+        np.minimum(least, (hashes[at:at + BLOCK, None] * _ODD[0]).min(axis=0), out=least)
     keys = _mixed((_mixed(least) * _ODD[1]).reshape(KEYS, LEAST).sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64))
     return own, keys.view(np.int64).tolist()
 
 
 def shingle_set(text: str, words: int) -> list[int]:
-    """Distinct 32-bit hashes of the shingles; fewer words are one shingle, none give none."""
-    w = text.encode().lower().split()
-    if len(w) < words:
-        shingles = [b" ".join(w)] if w else []
-    else:
-        shingles = map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False))
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in shingles), np.uint32)).view(np.int32).tolist()
+    """Distinct hashes of the shingles, ascending as signed numbers."""
+    return np.unique(_hashes(text, words)[1].view(np.int64)).tolist()
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets have that Jaccard similarity."""
-    asked = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
+def rare_shingles(shingles: list[int], counts: np.ndarray, similarity: float) -> list[int]:
+    """The rarest shingles of a set: two sets of that Jaccard similarity have one of each other's among them.
+
+    A partner holds ``similarity`` of the set at least, so it can miss no more than
+    the rest; whatever the order, if it is the same for all sets, one of the first
+    ``rest + 1`` of either set is common to both. ``counts``, by hash modulo their
+    number, are how often shingles occur.
+    """
+    h = np.array(shingles, np.int64)
+    order = np.lexsort((h, counts[h % len(counts)]))
+    # a thousandth guards the product against rounding; a longer beginning is always right
+    return h[order[:len(h) - math.ceil(similarity * len(h) - 0.001) + 1]].tolist()
+
+
+def _sets(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(row, set, size) of the rows asked for. Texts are joined by sorting at every size: both sides grow with the corpus."""
 
     def make():
-        return lambda rows: {"row": rows["row"], "set": [shingle_set(t, words) for t in rows["text"]]}
+        def step(rows):
+            sets = [shingle_set(t, words) for t in rows["text"]]
+            return {"row": rows["row"], "set": sets, "size": list(map(len, sets))}
+
+        return step
+
+    arrow = pa.schema([("row", pa.int64()), ("set", pa.list_(pa.int64())), ("size", pa.int64())])
+    wanted = texts.select("row", "text").join(asked.hint("merge"), "row", "left_semi")
+    return map_rows(wanted, make, "row bigint, set array<bigint>, size bigint", arrow)
 
-    arrow = pa.schema([("row", pa.int64()), ("set", pa.list_(pa.int32()))])
-    sets = map_rows(texts.select("row", "text").join(asked, "row", "left_semi"), make, "row bigint, set array<int>", arrow)
-    sets = store(sets, "shingles")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have that Jaccard similarity."""
+    one = sets.select(F.col("row").alias("a"), F.col("set").alias("x"))
+    two = sets.select(F.col("row").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a")
     common = F.size(F.array_intersect("x", "y"))
-    return store(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def untried(shared: DataFrame, groups: DataFrame) -> DataFrame:
+def _cells(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, row, leader, size, place): each row at its rare shingles, rarest first (place from 0); no row leads."""
+    bucket = F.pmod("shingle", F.lit(COUNTERS)).cast("int").alias("bucket")
+    found = sets.select(F.explode("set").alias("shingle")).groupBy(bucket).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def make():
+        return lambda rows: {"row": rows["row"], "size": rows["size"], "keys": [rare_shingles(s, shared.value, similarity) for s in rows["set"]]}
+
+    arrow = pa.schema([("row", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    placed = map_rows(sets, make, "row bigint, size bigint, keys array<bigint>", arrow)
+    return placed.select(F.posexplode("keys").alias("place", "key"), "row", F.lit(-1).cast("bigint").alias("leader"), "size")
+
+
+def untried(shared: DataFrame, groups: DataFrame, similarity: float = 0.0) -> DataFrame:
     """(a, b): each pair of rows of (key, row, leader) that share a key and are not in one group, without the leaders' own pairs.
 
     Groups, of (node, component), are told apart by the component itself; rows without links are groups of their own.
+    The members of a key's largest group only meet the others, not each other, so a large group costs as much as it
+    has pairs to try.
+
+    With a similarity, ``shared`` has each row's ``size`` and the key's ``place`` in its order too. Similar sets of x
+    and y elements have ``similarity / (1 + similarity) * (x + y)`` in common, all of them from their first common
+    key on: that bounds how late it comes in either set, and more so in the smaller one.
     """
-    marked = shared.filter("leader < row").join(groups.withColumnRenamed("node", "row"), "row", "left").select(
-        "key", "row", F.coalesce("component", "row").alias("group"))
-    mine = marked.select("key", F.col("row").alias("a"), F.col("group").alias("ga"))
-    others = marked.select("key", F.col("row").alias("b"), F.col("group").alias("gb"))
-    return mine.join(others, "key").filter("a < b and ga <> gb").select("a", "b").distinct()
+    if not similarity:
+        shared = shared.withColumns({"size": F.lit(0), "place": F.lit(0)})
+    marked = shared.filter("leader < row").join(groups.withColumnRenamed("node", "row").hint("merge"), "row", "left").select(
+        "key", "row", "size", "place", F.coalesce("component", "row").alias("group"))
+    marked = store(marked, "marked")
+    held = marked.groupBy("key", "group").agg(F.count("*").alias("n"))
+    main = held.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    cells = store(marked.join(main.select("key", F.col("top.group").alias("main")), "key").withColumn("is_main", F.expr("group = main")), "cells")
+    share = similarity / (1 + similarity)
+
+    def side(rows: DataFrame, suffix: str) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(c + suffix) for c in ("row", "group", "size", "place")])
+
+    # a is the smaller set; a thousandth guards the products against rounding
+    early = cells.filter(F.col("place") <= F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - 0.001))
+    meet = side(early.filter("not is_main"), "_a").join(side(cells, "_b").hint("merge"), "key").unionAll(
+        side(early.filter("is_main"), "_a").join(side(cells.filter("not is_main"), "_b").hint("merge"), "key"))
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    meet = meet.filter("group_a <> group_b and (size_a < size_b or size_a = size_b and row_a < row_b)").filter(
+        (left >= F.lit(share) * (F.col("size_a") + F.col("size_b")) - 0.001) & (F.col("size_a") >= F.lit(similarity) * F.col("size_b") - 0.001))
+    return meet.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -197,14 +264,22 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     Rows with the same words are copies; different texts link if their shingle
     sets are similar; linked rows are a group, and ``keep`` is the row number of
     its smallest id (null ids last, then the smaller row number). A text without
-    words is a copy of any other such text, and links to none else. Candidates are
-    texts that share a key of ``sketch``: first each is compared with the smallest
-    text of its keys, which ties much of a large group together; then all that
-    share a key and are not in one group yet. Every member counts there: a group
-    may be linked to another text by any one of them. All candidates are judged by
-    their shingle sets.
+    words is a copy of any other such text, and links to none else. Texts that
+    share no key of ``sketch`` with another have no partner. The others are first
+    compared with one text each, the smallest of the keys that agree most, which
+    ties much of a large group together; then all that share one of their rare
+    shingles early enough, have sizes that allow it, and are not in one group yet. Every member
+    counts there: a group may be linked to another text by any one of them. All
+    candidates are judged by their shingle sets.
+
+    Both frames are stored; whatever else was stored on the way is removed.
     """
     rows = store(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    with scratch(docs.sparkSession) as keep:
+        return rows, keep(_groups(rows, words, similarity, id_col, text_col), "groups")
+
+
+def _groups(rows: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     texts = rows.select("row", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("bigint").alias("id"))
 
     def make():
@@ -217,27 +292,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     arrow = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("own", pa.binary()), ("keys", pa.list_(pa.int64()))])
     sketches = store(map_rows(texts.select("row", "id", "text"), make, "row bigint, id bigint, own binary, keys array<bigint>", arrow), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    classes = store(sketches.groupBy("own").agg(first, F.any_value("keys").alias("keys")).select("own", "first", F.col("first.row").alias("row"), "keys"), "classes")
-    spread = classes.select("row", F.explode("keys").alias("key"))
-    # keys of one text propose nothing; the others are few and are stored once for both passes
-    least = F.min("row").over(Window.partitionBy("key")).alias("leader")
-    most = F.max("row").over(Window.partitionBy("key")).alias("last")
-    shared = store(spread.select("key", "row", least, most).filter("leader < last").drop("last"), "shared_keys")
-    # first pass: each text with the smallest of its keys
-    led = shared.filter("leader < row").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
-    links = _similar(store(led, "candidates"), texts, words, similarity)
-    grouped = store(components(links, "a", "b"), "groups")
-    # second pass: all that share a key and are not in one group; pairs with a key's smallest text are settled
-    more = _similar(store(untried(shared, grouped).join(led, ["a", "b"], "left_anti"), "candidates"), texts, words, similarity)
-    final = components(links.unionAll(more), "a", "b")
+    classes = store(sketches.groupBy("own").agg(first).select("own", "first", F.col("first.row").alias("row")), "classes")
+    spread = sketches.select("row", "keys").join(classes.select("row").hint("merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    # keys of one text propose nothing; the others are few
+    ends = spread.groupBy("key").agg(F.min("row").alias("leader"), F.max("row").alias("last")).filter("leader < last").select("key", "leader")
+    met = store(spread.join(ends, "key").filter("leader < row").groupBy("row", "leader").agg(F.count("*").alias("keys")), "met")
+    sets = met.select("row").unionAll(met.select(F.col("leader").alias("row"))).distinct()
+    sets = store(_sets(texts, sets, words), "sets")
+    # first pass: each text with the leader of most of its keys
+    best = met.groupBy("row").agg(F.max(F.struct("keys", (-F.col("leader")).alias("leader"))).alias("best"))
+    led = best.select((-F.col("best.leader")).alias("a"), F.col("row").alias("b"))
+    links = store(_similar(led, sets, similarity), "links")
+    grouped = components(links, "a", "b")
+    # second pass: all that meet at a rare shingle and are not in one group
+    more = store(untried(_cells(sets, similarity), grouped, similarity), "candidates")
+    final = components(links.unionAll(_similar(more, sets, similarity)), "a", "b")
     named = classes.join(final.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     kept = named.groupBy("component").agg(F.min("first").alias("best")).select("component", F.col("best.row").alias("keep"))
-    groups = sketches.select("row", "own").join(named.select("own", "component"), "own").join(kept, "component").select("row", "keep")
-    return rows, groups
+    return sketches.select("row", "own").join(named.select("own", "component"), "own").join(kept, "component").select("row", "keep")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: see ``near_copies``."""
     rows, groups = near_copies(docs, words, similarity, id_col, text_col)
     stays = groups.filter("row = keep").select("row")
-    return rows.join(stays, "row", "left_semi").drop("row")
+    return rows.join(stays.hint("merge"), "row", "left_semi").drop("row")

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
-from phasegrid.llm import components, simhash
+from phasegrid.llm import common, components, simhash
 
 from .cases import AWKWARD, SCHEMA, awkward, empty
 
@@ -198,6 +198,40 @@ def test_groups_of_one_hash_are_compared(spark):
     assert [tuple(r) for r in simhash.untried(shared, groups).collect()] == [(one, two)]
 
 
+@pytest.mark.parametrize("counters", [1, 7, 1 << 12])
+def test_rare_shingles_propose_every_similar_pair(spark, monkeypatch, counters):
+    """Whatever the counters tell apart, sets of similarity 0.8 meet, and a large group is not compared with itself."""
+    monkeypatch.setattr(simhash, "COUNTERS", counters)
+    rnd = random.Random(counters)
+    sets = []
+    for _ in range(25):
+        base = [rnd.getrandbits(63) - (1 << 62) for _ in range(rnd.choice([1, 4, 5, 30, 90]))]
+        for _ in range(5):
+            drop = rnd.randrange(len(base) // 4 + 1)
+            sets.append(sorted({*base[drop:], *(rnd.getrandbits(60) for _ in range(rnd.randrange(len(base) // 8 + 1)))}))
+    df = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(sets)], "row bigint, set array<bigint>, size bigint")
+    cells = simhash._cells(df, 0.8)
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    got = {tuple(r) for r in simhash.untried(cells, none, 0.8).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j)
+            if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert want and want <= got
+    grouped = spark.createDataFrame([(i, 0) for i in range(60)], "node bigint, component bigint")
+    got = {tuple(r) for r in simhash.untried(cells, grouped, 0.8).collect()}
+    assert {p for p in want if p[1] >= 60} <= got and not any(b < 60 for _, b in got)
+
+
+def test_scratch_tables_go_and_results_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_path", lambda _, name: str(tmp_path / f"{name}_{len(list(tmp_path.iterdir()))}"))
+    with common.scratch(spark) as outer:
+        common.store(spark.range(3), "first")
+        with common.scratch(spark) as keep:
+            kept = keep(common.store(spark.range(5), "inner").selectExpr("id + 1 as id"), "kept")
+        assert kept.count() == 5 and sorted(p.name[:5] for p in tmp_path.iterdir()) == ["first", "kept_"]
+        result = outer(kept, "result")
+    assert result.count() == 5 and [p.name[:6] for p in tmp_path.iterdir()] == ["result"]
+
+
 def test_recall_on_the_table(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     want = defaultdict(list)
