@@ -16,6 +16,19 @@ from pyspark.sql import SparkSession
 # Fixed value: the published pattern of byte-level pre-tokens.
 PIECE = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# Code points that newer tables count as letters or digits and the published split as neither.
+NEITHER = (
+    "558, 58B-58C, 88F, C5C, CDC, 208F, 209D-209F, A7CE-A7CF, A7D2, A7D4, A7DD, A7E2, A7F1, AB6C-AB6D, 107BB-107BF, "
+    "10940-10959, 10EC5-10EC7, 10ED9-10EEE, 11B0A, 11DB0-11DDB, 11DE0-11DE9, 11DF1, 1246F, 12475-1247F, "
+    "12550-12686, 16EA0-16EB8, 16EBB-16ED3, 16FF2-16FF6, 187F8-187FF, 18CD6-18CDA, 18D09-18D20, 18D80-18DF2, "
+    "18E00-19191, 191A0-191D2, 1B123-1B128, 1B168, 1D6A6, 1DF1F-1DF24, 1DF2B-1DF81, 1DF90-1DF96, 1DFCD-1DFFF, "
+    "1E6C0-1E6DE, 1E6E0-1E6E2, 1E6E4-1E6E5, 1E6E7-1E6ED, 1E6F0-1E6F4, 1E6FE-1E6FF, 2B73A-2B73F, 2B81E, 2CEA2-2CEAD, "
+    "323B0-33479, 3D000-3FC3F "
+)
+_NEITHER = "".join("-".join(rf"\U{int(x, 16):08X}" for x in run.split("-")) for run in NEITHER.replace(",", " ").split())
+#: the same split where such code points occur
+RARE_PIECE = (PIECE.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{_NEITHER}])")
+              .replace(r"\p{L}+", rf"(?:(?![{_NEITHER}])\p{{L}})+", 1).replace(r"\p{N}+", rf"(?:(?![{_NEITHER}])\p{{N}})+", 1))
 #: a text longer than this is split piece by piece and not as one list
 LONG_TEXT = 1 << 20
 #: a pre-token longer than this many bytes is never remembered
@@ -58,7 +71,7 @@ class ByteVocab:
         self._order = np.argsort(keys, kind="stable").astype(np.int32)
         self._keys = keys[self._order]
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self._piece = regex.compile(PIECE)
+        self._piece, self._rare_piece, self._rare = map(regex.compile, (PIECE, RARE_PIECE, f"[{_NEITHER}]"))
         self._cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -77,11 +90,12 @@ class ByteVocab:
         yield from self._split(text[at:] if at else text)
 
     def _split(self, text: str) -> Iterator[list[str]]:
+        piece = self._piece if text.isascii() or not self._rare.search(text) else self._rare_piece
         if len(text) <= LONG_TEXT:
-            yield self._piece.findall(text)
+            yield piece.findall(text)
             return
         some: list[str] = []
-        for m in self._piece.finditer(text):
+        for m in piece.finditer(text):
             some.append(m[0])
             if len(some) >= LONG_TEXT // 8:
                 yield some

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from phasegrid.llm import bpe, bpe_vocab, token_counts
 
@@ -57,6 +57,17 @@ def test_any_text(text):
     assert own_ids([text]) == [ids_of(text)] and own_counts([text]) == [len(ids_of(text))]
 
 
+def test_every_kind_of_code_point_is_split_as_the_library_does():
+    """Each place where a listed run begins or ends, and every 61st code point beside them, in four surroundings."""
+    ends = [int(x, 16) for run in bpe_vocab.NEITHER.replace(",", " ").split() for x in run.split("-")]
+    points = {c + d for c in ends for d in (-1, 0, 1)} | set(range(0, 0x110000, 61))
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    for c in sorted(points - set(range(0xD800, 0xE000))):
+        text = f"a{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}{chr(c)}'s{chr(c)}"
+        want = [text[a:b] for _, (a, b) in split.pre_tokenize_str(text)]
+        assert [x for some in VOCAB.pieces(text) for x in some] == want, hex(c)
+
+
 def test_long_texts_are_split_piece_by_piece(monkeypatch):
     monkeypatch.setattr(bpe_vocab, "LONG_TEXT", 16)
     text = "some words, 123 of them;  and   blanks " * 5
