@@ -123,7 +123,7 @@ def hexadecimal(fp):
 
 
 # Near copies by similarity: least hashes of a text's shingles find the texts that may have a partner; each is compared
-# with one of those it meets; what is not in one group then is compared where rare shingles meet.
+# with the first that it meets at each of them; what is not in one group then is compared where rare shingles meet.
 
 #: A text has so many keys, each made of so many least hashes: texts of similarity s share none of the keys with
 #: probability (1 - s ** LEAST) ** KEYS, which is 0.00015 at 0.8, 2e-7 at 0.85 and less above
@@ -266,8 +266,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     its smallest id (null ids last, then the smaller row number). A text without
     words is a copy of any other such text, and links to none else. Texts that
     share no key of ``sketch`` with another have no partner. The others are first
-    compared with one text each, the smallest of the keys that agree most, which
-    ties much of a large group together; then all that share one of their rare
+    compared with the smallest text of each of their keys, which ties much of a
+    large group together; then all that share one of their rare
     shingles early enough, have sizes that allow it, and are not in one group yet. Every member
     counts there: a group may be linked to another text by any one of them. All
     candidates are judged by their shingle sets.
@@ -296,12 +296,11 @@ def _groups(rows: DataFrame, words: int, similarity: float, id_col: str, text_co
     spread = sketches.select("row", "keys").join(classes.select("row").hint("merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     # keys of one text propose nothing; the others are few
     ends = spread.groupBy("key").agg(F.min("row").alias("leader"), F.max("row").alias("last")).filter("leader < last").select("key", "leader")
-    met = store(spread.join(ends, "key").filter("leader < row").groupBy("row", "leader").agg(F.count("*").alias("keys")), "met")
+    met = store(spread.join(ends, "key").filter("leader < row").select("row", "leader").distinct(), "met")
     sets = met.select("row").unionAll(met.select(F.col("leader").alias("row"))).distinct()
     sets = store(_sets(texts, sets, words), "sets")
-    # first pass: each text with the leader of most of its keys
-    best = met.groupBy("row").agg(F.max(F.struct("keys", (-F.col("leader")).alias("leader"))).alias("best"))
-    led = best.select((-F.col("best.leader")).alias("a"), F.col("row").alias("b"))
+    # first pass: each text with the leaders of its keys
+    led = met.select(F.col("leader").alias("a"), F.col("row").alias("b"))
     links = store(_similar(led, sets, similarity), "links")
     grouped = components(links, "a", "b")
     # second pass: all that meet at a rare shingle and are not in one group
