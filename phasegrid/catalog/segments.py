@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, genome, overlap, segments, significance, tables, tiling
 from ..params import CONTIG_KEYS
-from ..plans import features, phasing
+from ..plans import energies, features, phasing
 from ..session import stored
 from .fixtures import TILE, Tables
 from .registry import query, view
@@ -132,6 +132,55 @@ def _(t: Tables) -> DataFrame:
     return features.with_sequences(_segs(t), t.genome_tiles(), TILE)
 
 
+def hairpin_fold(seq: Column) -> Column:
+    """Stand-in for an outside folding program: one mirrored stem, an energy from its pairs and the G and C."""
+    size = F.length(seq)
+    half = F.translate(F.substring(seq, F.lit(1), F.floor(F.greatest(size - 5, F.lit(0)) / 2).cast("int")), "ACGT", "(((.")
+    gap = F.repeat(F.lit("."), size - 2 * F.length(half))
+    pairs = F.length(half) - F.length(F.replace(half, F.lit("("), F.lit("")))
+    strong = size - F.length(F.translate(seq, "GC", ""))
+    return F.struct(F.concat(half, gap, F.reverse(F.translate(half, "(", ")"))).alias("fold"), (-pairs - strong * 0.25).cast("double").alias("mfe"))
+
+
+def fold_sql(seq: str) -> tuple[str, str]:
+    """(fold, mfe) of ``hairpin_fold`` for the oracle."""
+    half = f"translate(substr({seq}, 1, greatest(length({seq}) - 5, 0) // 2), 'ACGT', '(((.')"
+    fold = f"{half} || repeat('.', length({seq}) - 2 * length({half})) || reverse(replace({half}, '(', ')'))"
+    pairs = f"length({half}) - length(replace({half}, '(', ''))"
+    return fold, f"(-({pairs}) - 0.25 * (length({seq}) - length(translate({seq}, 'GC', ''))))::DOUBLE"
+
+
+view("scanned", ["phased", "core", "whole"], f"""
+SELECT *, {fold_sql("scan_seq")[0]} AS scan_fold, {fold_sql("scan_seq")[1]} AS mfe
+FROM (SELECT p.*, c.peak_strand AS scan_strand,
+    CASE WHEN c.peak_strand = 'C' THEN {_complement('substr(g, greatest(p.pos, 1), p.pos + 160 - greatest(p.pos, 1))')}
+         ELSE upper(substr(g, greatest(p.pos, 1), p.pos + 160 - greatest(p.pos, 1))) END AS scan_seq
+  FROM phased p JOIN core c USING (library, chr, tile, pos) JOIN whole USING (chr))
+WHERE length(scan_seq) > 0""")
+
+
+@query("scan_window_energy", f"{K}, pos long, scan_strand string, scan_seq string, scan_fold string, mfe double", ["scanned"],
+       "SELECT * FROM scanned")
+def _(t: Tables) -> DataFrame:
+    windows = stored(phasing.phased_windows(t.reads(), scan_strand=True), "windows")
+    return energies.scan_energies(windows, t.genome_tiles(), TILE, hairpin_fold)
+
+
+@query("segment_energies", f"{SEG_COLS}, max_mfe double, min_mfe double, pval_fdr double, pval_accept boolean", ["bh", "scanned"], """
+SELECT * FROM bh JOIN (SELECT library, chr, tile, eff_pos, max(mfe) AS max_mfe, min(mfe) AS min_mfe
+  FROM scanned GROUP BY ALL) e USING (library, chr, tile, eff_pos)""")
+def _(t: Tables) -> DataFrame:
+    return features.phased_segments(t.reads(), tiles=t.genome_tiles(), tile_size=TILE, fold=hairpin_fold)
+
+
+@query("precursor_energies", f"{K}, eff_pos long, prefold string, premfe double, premfe_200_500 double, premfe_500_200 double", ["segseq"],
+       f"""SELECT *, {fold_sql("precursor")[0]} AS prefold, {fold_sql("precursor")[1]} AS premfe,
+  {fold_sql("precursor_200_500")[1]} AS premfe_200_500, {fold_sql("precursor_500_200")[1]} AS premfe_500_200 FROM segseq""")
+def _(t: Tables) -> DataFrame:
+    placed = features.with_sequences(_stored_segs(t), t.genome_tiles(), TILE)
+    return energies.with_folds(placed, energies.PRECURSOR_FOLDS, hairpin_fold)
+
+
 @query("consistent_label", f"{K}, eff_pos long, eff_seq string, consistent boolean", ["segseq"], """
 SELECT *, count(DISTINCT library) OVER (PARTITION BY eff_seq) >= 2 AS consistent FROM segseq""")
 def _(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import hairpin, segments, structures, targets
 from ..plans import features
 from .fixtures import TILE, Tables
 from .registry import QUERIES, VIEWS, query, view
-from .segments import VOTE_SQL, pct
+from .segments import VOTE_SQL, fold_sql, hairpin_fold, pct
 
 
 def sql_revcomp(s: str) -> str:
@@ -439,8 +439,8 @@ view("g_hairpin", ["g_calls_def", "g_passed_def"], _over_segments(_hairpin_sql("
        "vote int, total_frq_DicerCall long, GC% double, 5p1A double, md5T double, Best_miR string, BestScore double, "
        "anyhit string, hairpin_conclu string, fback_start int, fback_stop int, hairpin_conclu25 string, "
        "hairpin_conclu52 string, Literature boolean, eff5p1 string, paired_percentage double, occ_bulgeAllnt int, "
-       "occ_loopAllnt int",
-       ["segseq", "tails", "comp", "slotcounts", "g_site", "g_hits", "g_hairpin", "g_bulges", "ref_loci"], f"""
+       "occ_loopAllnt int, max_mfe double, min_mfe double, premfe double, premfe_200_500 double, premfe_500_200 double",
+       ["scanned", "segseq", "tails", "comp", "slotcounts", "g_site", "g_hits", "g_hairpin", "g_bulges", "ref_loci"], f"""
 SELECT s.library, s.chr, s.tile, s.eff_pos, s.eff_seq, s.precursor, {VOTE_SQL} AS vote, c.tot AS "total_frq_DicerCall",
   round({pct("(100 * c.ng)", "c.tot")} + {pct("(100 * c.nc)", "c.tot")}, 2) AS "GC%",
   {pct('(100 * m."n5p1A")', "m.tot")} AS "5p1A", {pct('(100 * m."nmd5T")', "m.tot")} AS "md5T",
@@ -449,8 +449,12 @@ SELECT s.library, s.chr, s.tile, s.eff_pos, s.eff_seq, s.precursor, {VOTE_SQL} A
   r.CONTIG_literature_seen IS NOT NULL AS "Literature", s.eff_seq[1:1] AS eff5p1,
   b.paired AS paired_percentage,
   CASE WHEN b.start < 0 THEN -1 ELSE length(b.bl) END AS "occ_bulgeAllnt",
-  CASE WHEN b.start < 0 THEN -1 ELSE length(b.ll) END AS "occ_loopAllnt"
-FROM segseq s JOIN tails t USING (library, chr, tile, eff_pos)
+  CASE WHEN b.start < 0 THEN -1 ELSE length(b.ll) END AS "occ_loopAllnt",
+  e.max_mfe, e.min_mfe, {fold_sql("s.precursor")[1]} AS premfe, {fold_sql("s.precursor_200_500")[1]} AS premfe_200_500,
+  {fold_sql("s.precursor_500_200")[1]} AS premfe_500_200
+FROM segseq s JOIN (SELECT library, chr, tile, eff_pos, max(mfe) AS max_mfe, min(mfe) AS min_mfe FROM scanned GROUP BY ALL) e
+  USING (library, chr, tile, eff_pos)
+JOIN tails t USING (library, chr, tile, eff_pos)
 JOIN comp c USING (library, chr, tile, eff_pos) JOIN slotcounts m USING (library, chr, tile, eff_pos)
 JOIN (SELECT library, chr, tile, eff_pos, seq_id FROM g_site WHERE kind = '') k USING (library, chr, tile, eff_pos)
 JOIN g_hits h ON h.doc_id = k.seq_id JOIN g_hairpin p0 ON p0.seq_id = k.seq_id
@@ -459,5 +463,5 @@ JOIN (SELECT *, {PAIRED} AS paired FROM g_bulges) b ON b.seq_id = k.seq_id
 LEFT JOIN ref_loci r ON r.CONTIG_literature_seen = s.chr || '__' || s.tile || '_' || (s.tile + 5250)""")
 def _(t: Tables) -> DataFrame:
     return features.segment_features(
-        t.alignments(), t.genome_tiles(), TILE, t.queries21(), "ath", t.ref_loci(), mirror_fold()
+        t.alignments(), t.genome_tiles(), TILE, t.queries21(), "ath", t.ref_loci(), None, fold=hairpin_fold
     )

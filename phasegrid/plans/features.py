@@ -13,6 +13,7 @@ from ..operators import genome, hairpin, overlap, segments, significance, struct
 from ..operators.tiling import contig_name
 from ..params import CONTIG_KEYS, CYCLE, DICER, DRIFT
 from ..session import stored
+from . import energies
 from .phasing import phased_windows
 
 SEGMENT_KEY = [*CONTIG_KEYS, "eff_pos"]
@@ -34,10 +35,19 @@ def with_fold(df: DataFrame, columns: dict[str, str], fold_fn: Callable[[pd.Seri
 
 
 def phased_segments(
-    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None
+    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None,
+    tiles: DataFrame | None = None, tile_size: int = 0, fold: energies.Fold | None = None,
 ) -> DataFrame:
-    """Reads to consolidated segments with adjusted probabilities, tails and votes; a row stands for ``weight`` reads."""
-    windows = phased_windows(reads, cycle, dicer, drift, min_windows, weight)
+    """Reads to consolidated segments with adjusted probabilities, tails and votes; a row stands for ``weight`` reads.
+
+    With a genome and a ``fold`` (see ``energies``) windows get the energy of
+    the stretch behind them, and segments ``max_mfe`` and ``min_mfe``.
+    """
+    if fold is None:
+        windows = phased_windows(reads, cycle, dicer, drift, min_windows, weight)
+    else:
+        windows = stored(phased_windows(reads, cycle, dicer, drift, min_windows, weight, scan_strand=True), "windows")
+        windows = energies.scan_energies(windows, tiles, tile_size, fold)
     # ranks, fits and the vote each need the segments, a small table, but not the reads again
     return significant(stored(segments.consolidate(windows), "segments"))
 
@@ -89,19 +99,21 @@ def hairpin_columns(row: DataFrame, profile: str = "def") -> DataFrame:
 
 def segment_features(
     reads: DataFrame, tiles: DataFrame, tile_size: int, queries: DataFrame, species: str, loci: DataFrame,
-    fold_fn: Callable[[pd.Series], pd.Series], cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT,
-    min_windows: int = 10,
+    fold_fn: Callable[[pd.Series], pd.Series] | None, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT,
+    min_windows: int = 10, fold: energies.Fold | None = None,
 ) -> DataFrame:
     """The whole way from reads to the feature table; ``reads`` carries sequences.
 
     The folded segments are written once. Every annotation then reads only the
-    columns it needs and comes back by the row's key.
+    columns it needs and comes back by the row's key. With ``fold`` instead of
+    ``fold_fn`` the table also has the energies of windows and precursors.
     """
-    found = phased_segments(reads, cycle, dicer, drift, min_windows)
-    folds = {
-        "precursor": "prefold", "precursor_200_500": "prefold_200_500", "precursor_500_200": "prefold_500_200",
-    }
-    folded = with_fold(with_sequences(found, tiles, tile_size, dicer), folds, fold_fn)
+    found = phased_segments(reads, cycle, dicer, drift, min_windows, tiles=tiles, tile_size=tile_size, fold=fold)
+    placed = with_sequences(found, tiles, tile_size, dicer)
+    if fold is None:
+        folded = with_fold(placed, {seq: name for seq, (name, _) in energies.PRECURSOR_FOLDS.items()}, fold_fn)
+    else:
+        folded = energies.with_folds(placed, energies.PRECURSOR_FOLDS, fold)
     row = stored(
         folded.withColumns(
             {

@@ -29,19 +29,23 @@ def window_candidates(
 
 
 def phased_windows(
-    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None
+    reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None,
+    scan_strand: bool = False,
 ) -> DataFrame:
     """All windows worth reporting, with scores and extended segments.
 
     Contigs with too few such windows are dropped before the extension, which
-    is the expensive step.
+    is the expensive step. With ``scan_strand`` there is a column of that name:
+    the effector's strand before the extension, on which the window is folded.
     """
     keep = windows.high_potential()
     found = windows.having_min_windows(window_candidates(reads, cycle, dicer, drift, weight), keep, min_windows)
     carried = ["pos", F.col("f").alias("freq"), F.col("w").alias("frqw"), F.col("c").alias("frqc"),
                "k", "n", "n_all", "p", "u", "u_all", "maxf", "Wfreq", "Cfreq", "contig_frq"]
+    more = ["scan_strand"] if scan_strand else []
+    carried += [F.col("peak_strand").alias(c) for c in more]
     segments = windows.extend_blocks(found, keep, carried, cycle, dicer)
     table = scores.chen_table(reads.sparkSession, cycle)
     out = windows.strand_dominance(windows.scored(segments, table, cycle))
     half = round(dicer * (cycle - 1) / 2)
-    return out.withColumn("mid_cyc", F.col("pos") + half).select(*CONTIG_KEYS, *WINDOW_COLUMNS)
+    return out.withColumn("mid_cyc", F.col("pos") + half).select(*CONTIG_KEYS, *WINDOW_COLUMNS, *more)
