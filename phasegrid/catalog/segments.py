@@ -159,6 +159,13 @@ FROM (SELECT p.*, c.peak_strand AS scan_strand,
 WHERE length(scan_seq) > 0""")
 
 
+@query("segments_once", SEG_COLS, ["segs"], """
+SELECT * FROM segs QUALIFY row_number() OVER (PARTITION BY library, chr, eff_pos ORDER BY
+  CASE WHEN (eff_pos >= tile + 125 OR tile = 0) AND eff_pos < tile + 5125 THEN 0 ELSE 1 END, tile) = 1""")
+def _(t: Tables) -> DataFrame:
+    return segments.once_per_place(_segs(t))
+
+
 @query("scan_window_energy", f"{K}, pos long, scan_strand string, scan_seq string, scan_fold string, mfe double", ["scanned"],
        "SELECT * FROM scanned")
 def _(t: Tables) -> DataFrame:

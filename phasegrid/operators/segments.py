@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import CONTIG_KEYS, DICER
+from ..params import CONTIG_KEYS, DICER, OVERLAP, STRIDE
 
 _MAXIMA = [
     "k", "n", "n_all", "p", "u", "u_all", "maxf", "pos_of_maxf", "eff_frq", "ext_k", "R_bound", "length",
@@ -32,6 +32,23 @@ def consolidate(windows: DataFrame) -> DataFrame:
     return kept.groupBy(*CONTIG_KEYS, "eff_pos").agg(*aggs)
 
 
+def once_per_place(df: DataFrame, stride: int = STRIDE, overlap: int = OVERLAP) -> DataFrame:
+    """Each effector position of a library and chromosome once, although overlapping tiles both report it.
+
+    A tile owns the positions from the middle of the overlap at its start to the
+    middle of the one at its end, where it sees both sides. Its row stays; a
+    position that its owner did not report keeps the row of the other tile. At
+    most two tiles cover a position, so a group has two rows, or as many as a
+    tile's row is repeated; one of them stays.
+    """
+    middle = F.col("tile") + overlap // 2
+    at = F.col("eff_pos")
+    # the first tile has no tile before it
+    owned = ((at >= middle) | (F.col("tile") == 0)) & (at < middle + stride)
+    first = Window.partitionBy("library", "chr", "eff_pos").orderBy(owned.desc(), "tile")
+    return df.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+
+
 def star_site(df: DataFrame) -> DataFrame:
     """Strand and position of the strand opposite to the effector."""
     return df.withColumns(

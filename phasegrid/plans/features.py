@@ -37,11 +37,13 @@ def with_fold(df: DataFrame, columns: dict[str, str], fold_fn: Callable[[pd.Seri
 def phased_segments(
     reads: DataFrame, cycle: int = CYCLE, dicer: int = DICER, drift: int = DRIFT, min_windows: int = 10, weight: str | None = None,
     tiles: DataFrame | None = None, tile_size: int = 0, fold: energies.Fold | None = None,
+    dedupe: bool = False,
 ) -> DataFrame:
     """Reads to consolidated segments with adjusted probabilities, tails and votes; a row stands for ``weight`` reads.
 
     With a genome and a ``fold`` (see ``energies``) windows get the energy of
-    the stretch behind them, and segments ``max_mfe`` and ``min_mfe``.
+    the stretch behind them, and segments ``max_mfe`` and ``min_mfe``. With ``dedupe`` a segment that two
+    overlapping tiles report counts once, in all statistics too.
     """
     if fold is None:
         windows = phased_windows(reads, cycle, dicer, drift, min_windows, weight)
@@ -49,7 +51,8 @@ def phased_segments(
         windows = stored(phased_windows(reads, cycle, dicer, drift, min_windows, weight, scan_strand=True), "windows")
         windows = energies.scan_energies(windows, tiles, tile_size, fold)
     # ranks, fits and the vote each need the segments, a small table, but not the reads again
-    return significant(stored(segments.consolidate(windows), "segments"))
+    found = segments.consolidate(windows)
+    return significant(stored(segments.once_per_place(found) if dedupe else found, "segments"))
 
 
 def significant(consolidated: DataFrame) -> DataFrame:

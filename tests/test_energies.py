@@ -1,9 +1,10 @@
-"""Folding energies: places folded once, stretches outside of the genome, outside programs as pandas UDFs."""
+"""Folding energies (places folded once, stretches outside of the genome, outside programs as pandas UDFs); segments once."""
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from phasegrid.catalog.segments import hairpin_fold
+from phasegrid.operators import segments
 from phasegrid.plans import energies
 
 TILES = [("1", 0, "ACGTACGTAC"), ("1", 1, "GGGGCCCCAA"), ("1", 2, "TTT")]
@@ -53,3 +54,13 @@ def test_an_outside_program_gives_the_same(spark):
     # one pass, one Python node for both columns
     plan = energies.with_folds(rows, columns, outside)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_segments_of_overlapping_tiles_count_once(spark):
+    rows = [("a", "1", 0, 5100), ("a", "1", 5000, 5100), ("a", "1", 0, 5200), ("a", "1", 5000, 5200), ("b", "1", 5000, 5100),
+            ("a", "1", 0, 5240), ("a", "1", 0, 3), ("a", "2", 0, 5100), ("a", "1", 5000, 5125), ("a", "1", 0, 5125)]
+    found = segments.once_per_place(spark.createDataFrame(rows, "library string, chr string, tile long, eff_pos long"))
+    # before the middle of the overlap the earlier tile, from it on the later one; a tile that is alone keeps its row
+    assert sorted(tuple(r) for r in found.collect()) == sorted(
+        [("a", "1", 0, 5100), ("a", "1", 5000, 5200), ("b", "1", 5000, 5100), ("a", "1", 0, 5240), ("a", "1", 0, 3), ("a", "2", 0, 5100),
+         ("a", "1", 5000, 5125)])
