@@ -252,6 +252,14 @@ def test_one_hot_of_many_categories(spark):
     assert long.count() == 30_000 and long.filter("id = 7").first().feature == "name_c7"
 
 
+def test_one_hot_table_has_the_zeros_too(spark):
+    df = spark.createDataFrame([(1, "x", True), (2, None, False), (3, "y", True), (3, "y", True)], "id int, a string, b boolean")
+    got = sorted((r.id, r.feature, r.value) for r in encode.one_hot_table(df, ["id"], ["a", "b"]).collect())
+    want = [(i, f, float(f in (f"a_{a}", f"b_{str(b).lower()}"))) for i, a, b in df.collect() for f in ("a_x", "a_y", "b_true", "b_false")]
+    assert got == sorted(want) and len(got) == 16
+    assert encode.one_hot_table(df.limit(0), ["id"], ["a", "b"]).count() == 0
+
+
 def test_features_of_one_name_are_told_apart(spark):
     df = spark.createDataFrame([(1, "b_c", "x"), (0, "z", "c"), (1, "b_c", None)], "y int, a string, a_b string")
     sums = evaluation.feature_sums(encode.entries(df, ["y"], {}, ["a", "a_b"]))
