@@ -46,7 +46,7 @@ class Rules:
     classes: tuple = PROSE
     max_class_distance: float = 0.13
     short_class_distance: float = 0.20  # the same below min_words, where chance has more weight
-    max_word_distance: float = 0.50
+    max_word_distance: float = 0.35  # a text without any of the words has 0.356 (de) to 0.411 (es)
     min_chars: int = 40  # fewer: no comparison of character classes
     min_words: int = 50  # fewer: no comparison of common words
     fail_words: int = 10  # base rule

@@ -95,6 +95,23 @@ def test_quality_rules_edges(spark):
     assert not re.search("Python|Arrow|Pandas|Join", plan)
 
 
+def test_texts_without_common_words_are_rejected_by_words_alone(spark):
+    """Letters at random in sentences of usual shape; the same with common words between them stays."""
+    rnd = random.Random(2)
+
+    def text(common):
+        made = [rnd.choice(common) if common and rnd.random() < 0.4 else "".join(rnd.choice("bcdfglmnprst") for _ in range(rnd.randrange(4, 9)))
+                for _ in range(300)]
+        return " ".join(". ".join(" ".join(made[k:k + 12]).capitalize() for k in range(0, 300, 12)).split(" "))
+
+    langs = [*quality_rules.COMMON_WORDS, None]
+    rows = [(i, text(None), lang, "s", 1) for i, lang in enumerate(langs)]
+    rows += [(10 + i, text(list(quality_rules.COMMON_WORDS[lang or "en"])), lang, "s", 1) for i, lang in enumerate(langs)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(not r.base_failed and r.class_distance <= 0.13 for r in out.values())
+    assert {d: r.kept for d, r in out.items()} == {d: d >= 10 for d in out}
+
+
 def test_quality_rules_against_labels(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     row = quality_rules.quality_rules(docs).filter("not base_failed").join(labels, "doc_id").agg(
