@@ -121,6 +121,19 @@ def test_pairs_match_a_stack(spark):
         assert pairs == want
 
 
+def test_pairs_stay_inside_the_row(spark):
+    """No letter is sorted, shuffled or grouped, whatever the number of folds; rows keep their own pairs."""
+    df = spark.createDataFrame([(1, "(())"), (1, "(.)."), (2, "))(("), (3, "(()"), (4, ""), (5, None), (None, "()")], "id int, fold string")
+    for made in (structures.with_pairs(df, "id"), structures.pair_table(structures.balanced(df), "id")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate"))
+    got = {(r.id, r.fold): r.pairs for r in structures.with_pairs(df, "id").collect()}
+    assert got == {(1, "(())"): [3, 2, 1, 0], (1, "(.)."): [2, -1, 0, -1], (2, "))(("): [-1] * 4, (3, "(()"): [-1, 2, 1],
+                   (4, ""): None, (5, None): None, (None, "()"): None}
+    assert sorted(tuple(r) for r in structures.pair_table(df.filter("id < 4"), "id").collect()) == [
+        (1, 0, 2), (1, 0, 3), (1, 1, 2), (1, 2, 0), (1, 2, 1), (1, 3, 0), (3, 1, 2), (3, 2, 1)]
+
+
 def test_hairpin_goldens(spark):
     long = ("(((((((((((.(((.(((((...((((((...((..((((.(((.((.(((.((((.(((((....((((...(((.(((((...........))))).)))...))))...."
             "))))).)))).))).))..))).))))))..)))).))..))))).))).)))))))))))..")
