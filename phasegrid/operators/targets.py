@@ -53,10 +53,10 @@ def target_runs(targets: DataFrame, queries: DataFrame, target_id: str, seq: str
 
 #: parts that the rows of a target word are dealt into, so that a frequent one is no single task's work
 SALTS = 16
-#: letters of the longest words; longer ones would be rarer, but each size is a pass over the targets
-MAX_WORD = 8
+#: letters of the longest part; longer ones would be rarer, but each size is a pass over the targets
+MAX_PART = 5
 #: bytes up to which the words of the queries are sent to every task
-SENT_BYTES = 8 << 20
+SENT_BYTES = 64 << 20
 
 
 def target_mismatches(
@@ -64,45 +64,58 @@ def target_mismatches(
 ) -> DataFrame:
     """Stretches that pair with a whole query but for a few letters: (target, ordinal, name, r_start, r_end, mismatches).
 
-    A query of L letters is cut into ``mismatches`` + 1 parts. Were there at most so
-    many unpaired letters, one part is paired throughout, so the words at the parts'
-    beginnings find every stretch (pigeonhole); the rest of the diagonal is then
-    compared. If the queries' words are few by count, they go to every task and the
-    targets stay where they are; else the words of a target are dealt into ``SALTS``
-    parts and those of the queries copied to each. No word is dropped for being
-    frequent. Queries shorter than ``min_len`` and NULL sequences have no stretch;
-    starts are 1-based.
+    The diagonals of ``mismatch_candidates`` are compared letter by letter. Queries
+    shorter than ``min_len`` and NULL sequences have no stretch; starts are 1-based.
     """
-    parts = mismatches + 1
+    hits = mismatch_candidates(targets, queries, target_id, seq, mismatches, min_len, sent_bytes)
+    unpaired = F.size(F.filter(F.sequence(F.lit(1), F.length("_q")), lambda i: F.substring("_s", i, F.lit(1)) != F.substring("_q", i, F.lit(1))))
+    start = (F.col("r_at") - F.col("q_at") + 1).alias("r_start")
+    compared = hits.select(target_id, "ordinal", "name", start, F.length("_q").alias("_n"), unpaired.alias("mismatches"))
+    # several parts of a query may find one stretch
+    once = compared.filter(F.col("mismatches") <= mismatches).groupBy(target_id, "ordinal", "r_start").agg(
+        F.any_value("name").alias("name"), F.any_value("_n").alias("_n"), F.any_value("mismatches").alias("mismatches"))
+    return once.withColumn("r_end", F.col("r_start") + F.col("_n") - 1).drop("_n")
+
+
+def mismatch_candidates(
+    targets: DataFrame, queries: DataFrame, target_id: str, seq: str, mismatches: int, min_len: int = MIN_LEN, sent_bytes: int = SENT_BYTES
+) -> DataFrame:
+    """Stretches ``_s`` of a target beside the queries ``_q`` that they may pair with, once for each pair of parts that agrees.
+
+    A query of L letters is cut into ``mismatches`` + 2 parts. Were there at most so
+    many unpaired letters, two parts are paired throughout, so the pairs of parts
+    find every stretch (pigeonhole), and are as rare as words of both their letters.
+    If the queries' pairs are few by count, they go to every task and the targets
+    stay where they are; else the words of a target are dealt into ``SALTS`` parts
+    and those of the queries copied to each. No word is dropped for being frequent.
+    """
+    parts = mismatches + 2
+    if parts > min_len:
+        raise ValueError("a query needs two letters more than may be unpaired")
+    pairs = [(i, j) for j in range(parts) for i in range(j)]
     usable = queries.filter(F.length("seq") >= min_len)
-    size = F.greatest(F.least(F.floor(F.length("seq") / parts), F.lit(MAX_WORD)), F.lit(1)).cast("int")
+    size = F.least(F.floor(F.length("seq") / parts), F.lit(MAX_PART)).cast("int")
     known = usable.agg(F.max(F.length("seq")).alias("longest"), F.sum(F.length("seq") + 64).alias("bytes"), F.collect_set(size).alias("sizes")).first()
-    longest, few = known["longest"] or 0, (known["bytes"] or 0) * parts <= sent_bytes
-    part = F.floor(F.length("_q") / parts).cast("int")
-    places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(mismatches)), lambda j: j * part)).alias("q_at")
+    longest, few = known["longest"] or 0, (known["bytes"] or 0) * len(pairs) <= sent_bytes
+    places = F.inline(F.array(*[F.struct((F.lit(i) * F.col("_size")).alias("q_at"), (F.lit(j - i) * F.col("_size")).alias("gap")) for i, j in pairs]))
+    word = F.expr("concat(substring(_q, q_at + 1, _size), substring(_q, q_at + gap + 1, _size))").alias("word")
     asked = usable.select("ordinal", "name", reverse_complement(F.col("seq")).alias("_q"), size.alias("_size")).select(
-        "ordinal", "name", "_q", "_size", places).select("ordinal", "name", "_q", "q_at", F.expr("substring(_q, q_at + 1, _size)").alias("word"))
+        "ordinal", "name", "_q", "_size", places).select("ordinal", "name", "_q", "q_at", "gap", word)
     # a place travels with the letters that any query around it can reach, all cut out in one pass over the text
     padded = F.concat(F.lit(" " * longest), F.upper(F.col(seq)))
     around = F.regexp_extract_all(padded, F.lit(f"(?=(.{{{longest + 1},{2 * longest}}}))"), F.lit(1))
     at_places = targets.select(target_id, F.posexplode(around).alias("r_at", "_around")) if longest else targets.select(
         target_id, F.lit(0).alias("r_at"), F.lit("").alias("_around")).limit(0)
-    cut = F.explode(F.array(*[F.substring("_around", longest + 1, n) for n in sorted(known["sizes"])] or [F.lit("")])).alias("word")
-    scanned = at_places.select(target_id, "r_at", "_around", cut)
+    cut = [F.struct(F.lit(n * d).alias("gap"), F.concat(F.substring("_around", longest + 1, n), F.substring("_around", longest + 1 + n * d, n)).alias("word"))
+           for n in sorted(known["sizes"]) for d in range(1, parts)]
+    scanned = at_places.select(target_id, "r_at", "_around", F.inline(F.array(*cut or [F.struct(F.lit(0).alias("gap"), F.lit("").alias("word"))])))
     if few:
-        hits = scanned.join(F.broadcast(asked), "word")
+        hits = scanned.join(F.broadcast(asked), ["word", "gap"])
     else:
         copied = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = scanned.withColumn("salt", F.pmod(F.col("r_at"), F.lit(SALTS))).join(copied, ["word", "salt"])
+        hits = scanned.withColumn("salt", F.pmod(F.col("r_at"), F.lit(SALTS))).join(copied, ["word", "gap", "salt"])
     hits = hits.filter(F.col("r_at") >= F.col("q_at"))
-    hits = hits.withColumn("_s", F.expr(f"substring(_around, {longest} - q_at + 1, length(_q))")).filter(F.length("_s") == F.length("_q"))
-    unpaired = F.size(F.filter(F.sequence(F.lit(1), F.length("_q")), lambda i: F.substring("_s", i, F.lit(1)) != F.substring("_q", i, F.lit(1))))
-    start = (F.col("r_at") - F.col("q_at") + 1).alias("r_start")
-    compared = hits.select(target_id, "ordinal", "name", start, F.length("_q").alias("_n"), unpaired.alias("mismatches"))
-    # several parts of a query may find one stretch
-    once = compared.filter(F.col("mismatches") <= mismatches).groupBy(target_id, "ordinal", "r_start").agg(
-        F.any_value("name").alias("name"), F.any_value("_n").alias("_n"), F.any_value("mismatches").alias("mismatches"))
-    return once.withColumn("r_end", F.col("r_start") + F.col("_n") - 1).drop("_n")
+    return hits.withColumn("_s", F.expr(f"substring(_around, {longest} - q_at + 1, length(_q))")).filter(F.length("_s") == F.length("_q"))
 
 
 def best_any_two(targets: DataFrame, runs: DataFrame, target_id: str) -> DataFrame:

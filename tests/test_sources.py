@@ -236,6 +236,15 @@ def test_targets_with_mismatches_are_all_found(spark):
     assert hot.count() == 280
 
 
+def test_few_places_are_compared_with_a_query(spark):
+    """Two parts of a query have to agree, so chance meetings are some 300 here, where one part of a third gave 11,000."""
+    rnd = random.Random(8)
+    t = spark.createDataFrame([(k, "".join(rnd.choice("ACGT") for _ in range(20_000))) for k in range(10)], "id int, s string")
+    q = spark.createDataFrame([(k, f"q{k}", "".join(rnd.choice("ACGT") for _ in range(21))) for k in range(300)], "ordinal int, name string, seq string")
+    for sent in (1 << 20, 0):
+        assert 100 < targets.mismatch_candidates(t, q, "id", "s", 2, sent_bytes=sent).count() < 1000
+
+
 def _site_model(rnd):
     """Weights for some of everything, knots with ties."""
     from phasegrid.operators import sites
