@@ -40,12 +40,16 @@ def fingerprint(text: str, words: int) -> int:
         shingles = [b" ".join(w)]
     else:
         shingles = list(map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False)))
-    n, counts = len(shingles), np.zeros(64, np.int64)
-    for at in range(0, n, SLICE):
-        part = shingles[at:at + SLICE]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of the hashes of a text's shingles; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        h = hashes[at:at + SLICE]
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,8 +126,9 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies by similarity: least hashes of a text's shingles find the texts that may have a partner; each is compared
-# with the first that it meets at each of them; what is not in one group then is compared where rare shingles meet.
+# Near copies by similarity: texts whose fingerprints are equal or link are compared first. What lies beyond their two bits is
+# found by least hashes of the shingles: each text is compared with the first that it meets at each of them; what is not in
+# one group then is compared where rare shingles meet.
 
 #: A text has so many keys, each made of so many least hashes: texts of similarity s share none of the keys with
 #: probability (1 - s ** LEAST) ** KEYS, which is 0.00015 at 0.8, 2e-7 at 0.85 and less above
@@ -152,17 +157,29 @@ def _hashes(text: str, words: int) -> tuple[bytes, np.ndarray]:
     return b" ".join(w), np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles))
 
 
-def sketch(text: str, words: int) -> tuple[bytes, list[int]]:
-    """(128-bit hash of the word sequence, KEYS keys of the shingle set); a text without words has no keys."""
+def sketch(text: str, words: int) -> tuple[bytes, list[int], int]:
+    """(128-bit hash of the word sequence, KEYS keys of the shingle set, fingerprint); a text without words has no keys."""
     joined, hashes = _hashes(text, words)
     own = xxhash.xxh3_128_digest(joined)
     if not len(hashes):
-        return own, []
+        return own, [], 0
     least = np.full(KEYS * LEAST, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), BLOCK):
         np.minimum(least, (hashes[at:at + BLOCK, None] * _ODD[0]).min(axis=0), out=least)
     keys = _mixed((_mixed(least) * _ODD[1]).reshape(KEYS, LEAST).sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64))
-    return own, keys.view(np.int64).tolist()
+    return own, keys.view(np.int64).tolist(), majority(hashes)
+
+
+def linked(prints: DataFrame, threshold: int = 2) -> DataFrame:
+    """(a, b): pairs of rows of (row, fp) that tie together all rows whose fingerprints are equal or link.
+
+    Each row with the first of its fingerprint, and the first ones of linked fingerprints.
+    """
+    first = store(prints.groupBy("fp").agg(F.min("row").alias("first"), F.max("row").alias("last")), "prints")
+    same = prints.join(first.filter("first < last").select("fp", "first"), "fp").filter("first < row").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    ends = links(first.select("fp"), threshold)
+    near = ends.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def shingle_set(text: str, words: int) -> list[int]:
@@ -265,9 +282,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     sets are similar; linked rows are a group, and ``keep`` is the row number of
     its smallest id (null ids last, then the smaller row number). A text without
     words is a copy of any other such text, and links to none else. Texts that
-    share no key of ``sketch`` with another have no partner. The others are first
-    compared with the smallest text of each of their keys, which ties much of a
-    large group together; then all that share one of their rare
+    share neither a key of ``sketch`` nor a fingerprint within two bits with
+    another have no partner. The others are first compared with those that their
+    fingerprints link them to, and with the smallest text of each of their keys,
+    which ties much of a large group together; then all that share one of their rare
     shingles early enough, have sizes that allow it, and are not in one group yet. Every member
     counts there: a group may be linked to another text by any one of them. All
     candidates are judged by their shingle sets.
@@ -284,23 +302,24 @@ def _groups(rows: DataFrame, words: int, similarity: float, id_col: str, text_co
 
     def make():
         def step(part):
-            own, keys = zip(*[sketch(t, words) for t in part["text"]], strict=True)
-            return {"row": part["row"], "id": part["id"], "own": list(own), "keys": list(keys)}
+            own, keys, fp = zip(*[sketch(t, words) for t in part["text"]], strict=True)
+            return {"row": part["row"], "id": part["id"], "own": list(own), "keys": list(keys), "fp": list(fp)}
 
         return step
 
-    arrow = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("own", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    sketches = store(map_rows(texts.select("row", "id", "text"), make, "row bigint, id bigint, own binary, keys array<bigint>", arrow), "sketches")
+    arrow = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("own", pa.binary()), ("keys", pa.list_(pa.int64())), ("fp", pa.int64())])
+    sketches = store(map_rows(texts.select("row", "id", "text"), make, "row bigint, id bigint, own binary, keys array<bigint>, fp bigint", arrow), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     classes = store(sketches.groupBy("own").agg(first).select("own", "first", F.col("first.row").alias("row")), "classes")
     spread = sketches.select("row", "keys").join(classes.select("row").hint("merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     # keys of one text propose nothing; the others are few
     ends = spread.groupBy("key").agg(F.min("row").alias("leader"), F.max("row").alias("last")).filter("leader < last").select("key", "leader")
     met = store(spread.join(ends, "key").filter("leader < row").select("row", "leader").distinct(), "met")
-    sets = met.select("row").unionAll(met.select(F.col("leader").alias("row"))).distinct()
+    # first pass: texts whose fingerprints are equal or link, and each text with the leaders of its keys
+    prints = sketches.filter("size(keys) > 0").select("row", "fp").join(classes.select("row").hint("merge"), "row", "left_semi")
+    led = store(linked(prints).unionAll(met.select(F.col("leader").alias("a"), F.col("row").alias("b"))).distinct(), "led")
+    sets = led.select(F.col("a").alias("row")).unionAll(led.select(F.col("b").alias("row"))).distinct()
     sets = store(_sets(texts, sets, words), "sets")
-    # first pass: each text with the leaders of its keys
-    led = met.select(F.col("leader").alias("a"), F.col("row").alias("b"))
     links = store(_similar(led, sets, similarity), "links")
     grouped = components(links, "a", "b")
     # second pass: all that meet at a rare shingle and are not in one group

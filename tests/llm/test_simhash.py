@@ -190,6 +190,24 @@ def test_similar_texts_are_one_group_whatever_the_edit(spark):
     assert kept == want
 
 
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    """Without a common least hash, texts whose fingerprints are equal or link are still compared, and judged by their sets."""
+    own_keys = simhash.sketch
+    monkeypatch.setattr(simhash, "sketch", lambda t, n: (own_keys(t, n)[0], [xxhash.xxh64_intdigest(t) >> 1], own_keys(t, n)[2]))
+    rnd = random.Random(11)
+    texts = []
+    for g in range(8):
+        base = [f"f{g}x{rnd.randrange(100_000)}" for _ in range(900)]
+        texts += [" ".join(base), edited(rnd, base, 1)]
+    hashes = [simhash._hashes(t, 5)[1] for t in texts]
+    bits = [((simhash.majority(x) ^ simhash.majority(y)) & (1 << 64) - 1).bit_count() for x, y in zip(hashes[::2], hashes[1::2])]
+    df = spark.createDataFrame([(i, simhash.majority(h)) for i, h in enumerate(hashes)], "row bigint, fp bigint")
+    got = {tuple(r) for r in simhash.linked(df).collect()}
+    assert got == {(2 * g, 2 * g + 1) for g, n in enumerate(bits) if n <= 2} and got
+    groups = simhash.near_copies(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA))[1]
+    assert groups.filter("row <> keep").count() == len(got)
+
+
 def test_groups_of_one_hash_are_compared(spark):
     same = spark.range(1, 400_000).selectExpr("id + (id % 7) * (1L << 33) as id").selectExpr("id", "hash(id) as h").groupBy("h").agg({"id": "collect_list"}).toDF("h", "ids")
     one, two = sorted(same.filter("size(ids) > 1").first().ids)[:2]
