@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from phasegrid.functions import sequence, special
+from phasegrid.catalog import fixtures
+from phasegrid.functions import sequence, special, structure
 from phasegrid.functions.rounding import round_ratio
 from phasegrid.operators import encode, evaluation, hairpin, prefix, significance, structures
 from tests.conftest import rows
@@ -303,3 +304,34 @@ def test_sparse_statistics_are_those_of_the_dense_table(spark):
     weighed = localise.feature_weights_sparse(encode.entries(keyed, ["id"], knots, ["c"], zeros=True), ["id"], table).collect()
     want = sum(columns[f] * np.prod(got[f]) for f in got)
     assert sorted(r.weighted_sum for r in weighed) == pytest.approx(sorted(want.tolist()), abs=1e-6)
+
+
+def test_texts_are_cut_in_one_pass(spark, tmp_path):
+    rng = random.Random(9)
+    text = ["".join(rng.choice("abcdefghij KLM.") for _ in range(n)) for n in (0, 1, 124, 125, 126, 999, 1000, 1001, 2500, 7000)]
+    data = [(i, t) for i, t in enumerate(text)] + [(4096, "x" * 3000), (4097, None)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = fixtures.Tables(spark, str(tmp_path))
+    bases = {r["doc_id"]: r["s"] for r in t.docseq().filter("s IS NOT NULL").collect()}
+    want, genome = {}, {}
+    for i, s in sorted(bases.items()):
+        want |= {i * 10000 + k: (p * 125)[:125] for k, p in enumerate(s[a:a + 125] for a in range(0, len(s), 125))}
+        genome[f"chr{i % 5 + 1}"] = genome.get(f"chr{i % 5 + 1}", "") + s
+    assert {r["seq_id"]: r["precursor"] for r in t.folds().collect()} == want
+    tiles = {(c, k): s[k * 1000:k * 1000 + 1000] for c, s in genome.items() for k in range(-(-len(s) // 1000))}
+    assert {(r["chr"], r["tile"]): r["seq"] for r in t.genome_tiles().collect()} == tiles
+    only = spark.createDataFrame([("chr5", 1), ("chr9", 0)], "chr string, tile long")
+    assert [(r["chr"], r["tile"], r["seq"]) for r in t.genome_tiles(only).collect()] == [("chr5", 1, tiles["chr5", 1])]
+    # a text is not copied to each of its pieces
+    for df in (t.folds(), t.genome_tiles()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode(" in plan and "explode(sequence" not in plan
+
+
+def test_tokens_are_made_once_a_row(spark):
+    df = spark.createDataFrame([("AAATTTT", "(((.)).", 0), (None, "((", 0), ("AC", None, -1)], "site_seq string, site_fold string, start int")
+    folded = structure.triplet_tokens(F.col("site_seq"), F.col("site_fold"))
+    assert rows(df.select(folded))[0] == ("<AAA(((><TTT.((><TTT((.>",)
+    plan = df.select(folded)._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" in plan and "translate(" not in plan and "fold, replace(" in plan.split("lambdafunction")[0]
+    assert [r[-1] for r in rows(structures.structure_features(df, []))] == [0, 0, -1]
