@@ -26,6 +26,8 @@ GROUP_BLOCKS = 16
 DEPTHS = (0.65, 0.8, 1.0)
 #: rows that may be left when scores are resolved, besides k
 FINALISTS = 32
+#: queries whose bounds over a block are held at once
+TOGETHER = 256
 
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("size", pa.int32()), ("values", pa.binary())])
 
@@ -66,55 +68,59 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 
 class Lists:
-    """A block's rows by component: ``order[d]`` from the largest value of component d to the smallest."""
+    """A block's rows by component: ``sorted[d]`` has the values of component d from the largest to the smallest."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        down = np.argsort(-values, axis=0, kind="stable").T
-        # both directions of each list: [0] from the largest value, [1] from the smallest
-        self.order = np.stack([down, down[:, ::-1]])
-        found = np.take_along_axis(values.T, down, 1).astype(np.float64)
-        self.sorted = np.stack([found, found[:, ::-1]])
+        self.dense = values.astype(np.float64)
+        self.sorted = -np.sort(-self.dense, axis=0).T
 
-    def best(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) that can be among the k best and reach ``floor``, best first, ties to smaller ids.
+    def bounds(self, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows after ``to`` entries of every list: most and least of a component, for lists read from the largest and from the smallest.
 
-        Where earlier blocks have given k scores, the lower bounds of this one are not needed.
+        What was read counts as it is, anything unread as the last entry read or as the end of the list.
+        """
+        down, up = self.sorted[:, to - 1], self.sorted[:, -to]
+        return (np.maximum(self.dense, down), np.minimum(self.dense, up),
+                np.where(self.dense >= down, self.dense, self.sorted[:, -1]), np.where(self.dense <= up, self.dense, self.sorted[:, 0]))
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, scores) that can be among the k best and reach its ``floor``, best first, ties to smaller ids.
+
+        The bounds of all queries at a depth are two products of matrices. Where
+        earlier blocks have given k scores, the lower bounds of this one are not needed.
         """
         n = len(self.ids)
-        width = min(len(query), self.order.shape[1])
-        q = query[:width].astype(np.float64)
-        lists = (q < 0).astype(np.intp), np.arange(width)
-        other = self.ids != own
-        last = self.sorted[*lists, -1] * q
-        first = self.sorted[*lists, 0] * q
-        slack = 1e-9 * np.maximum(np.abs(first), np.abs(last)).sum() / max(1, n)  # whole numbers below 2**53 need none
-        read, done, parts = np.zeros(n), 0, []
-        left = np.flatnonzero(other)
+        width = min(queries.shape[1], self.values.shape[1])
+        q = queries[:, :width].astype(np.float64)
+        plus, minus = np.maximum(q, 0).T, np.minimum(q, 0).T
+        ends = np.maximum(np.abs(self.sorted[:width, 0]), np.abs(self.sorted[:width, -1]))
+        slack = 1e-9 * (np.abs(q) @ ends) / max(1, n)  # whole numbers below 2**53 need none
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        open_, done = np.arange(len(q)), 0
         for depth in DEPTHS:
             to = max(done + 1, int(n * depth)) if depth < 1 else n
-            if to <= done:
+            if to <= done or not len(open_):
                 continue
-            parts.append(self.order[*lists, done:to])
-            values = self.sorted[*lists, done:to] * q[:, None]
-            read += np.bincount(parts[-1].ravel(), values.ravel(), n)
             done = to
-
-            def unread(at_most: np.ndarray) -> np.ndarray:
-                """What the lists a row was not yet seen in give at most (or at least), by row."""
-                given = sum(np.bincount(p.ravel(), np.repeat(at_most, p.shape[1]), n) for p in parts)
-                return at_most.sum() - given
-
-            kth = -np.inf
-            if floor == -np.inf:
-                lower = (read + unread(last))[other]
-                kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            left = np.flatnonzero(other & (read + unread(values[:, -1]) + slack >= max(floor, kth)))
-            if len(left) <= k + FINALISTS:
-                break
-        score = self.values[left][:, :width] @ query[:width]
-        by = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][by], score[by]
+            most_down, most_up, least_down, least_up = (x[:, :width] for x in self.bounds(to))
+            itself = self.ids[:, None] == own[open_]
+            reach = floor[open_].copy()
+            if (new := np.flatnonzero(reach == -np.inf)).size and n >= k:
+                at = open_[new]
+                lower = least_down @ plus[:, at] + least_up @ minus[:, at]
+                lower[itself[:, new]] = -np.inf
+                reach[new] = np.partition(lower, n - k, axis=0)[n - k]
+            can = most_down @ plus[:, open_] + most_up @ minus[:, open_] + slack[open_] >= reach
+            can &= ~itself
+            few = can.sum(0) <= (k + FINALISTS if to < n else n)
+            for j in np.flatnonzero(few).tolist():
+                left, i = np.flatnonzero(can[:, j]), open_[j]
+                score = self.values[left][:, :width] @ queries[i, :width]
+                by = np.lexsort((self.ids[left], -score))[:k]
+                out[i] = self.ids[left][by], score[by]
+            open_ = open_[~few]
+        return out
 
 
 _CELL = pa.schema([("query", pa.int64()), ("place", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -132,15 +138,16 @@ def _cell(k: int):
         for row in blocks.to_pylist():
             lists = Lists(*unpack(row))
             for number, ids, values in asked:
-                for i, (own, q) in enumerate(zip(ids.tolist(), values, strict=True)):
-                    had = best.get((number, i))
-                    floor = float(had[1][-1]) if had is not None and len(had[1]) == k else -np.inf
-                    found, score = lists.best(q, own, k, floor)
-                    if had is not None:
-                        found, score = np.r_[had[0], found], np.r_[had[1], score]
-                        by = np.lexsort((found, -score))[:k]
-                        found, score = found[by], score[by]
-                    best[number, i] = found, score
+                for at in range(0, len(ids), TOGETHER):
+                    some = range(at, min(at + TOGETHER, len(ids)))
+                    had = [best.get((number, i)) for i in some]
+                    floor = np.array([float(x[1][-1]) if x is not None and len(x[1]) == k else -np.inf for x in had])
+                    for i, old, (found, score) in zip(some, had, lists.best(values[at:some.stop], ids[at:some.stop], k, floor), strict=True):
+                        if old is not None:
+                            found, score = np.r_[old[0], found], np.r_[old[1], score]
+                            by = np.lexsort((found, -score))[:k]
+                            found, score = found[by], score[by]
+                        best[number, i] = found, score
         own_ids = {(number, i): own for number, ids, _ in asked for i, own in enumerate(ids.tolist())}
         for (number, i), (found, score) in best.items():
             out["query"] += [own_ids[number, i]] * len(found)

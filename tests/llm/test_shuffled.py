@@ -5,6 +5,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,14 @@ def test_pipeline_keeps_clean_documents(spark, small):
     assert good[0] > 0.97 and good[1] >= 0.97 * labels.filter("quality = 1").count()
     out = corpus_pipeline.run(spark, small).collect()
     assert 0 < len(out) <= docs.count() * 1.5 and all(len(r.ids) == 4 * r.n_tokens for r in out)
+
+
+def test_bounds_of_many_queries_at_once():
+    rng = np.random.default_rng(3)
+    values = np.sort(rng.integers(-40, 41, (900, 6)), axis=0)[:, rng.permutation(6)] + rng.integers(-2, 3, (900, 6))
+    lists, ids = topk.Lists(rng.permutation(900).astype(np.int64), values), rng.integers(-40, 41, (300, 6))
+    for floor in (-np.inf, 3000.0):
+        got = lists.best(ids, np.arange(300), 5, np.full(300, floor))
+        for i, (found, score) in enumerate(got):
+            want = sorted((-int(values[r] @ ids[i]), int(lists.ids[r])) for r in range(900) if lists.ids[r] != i)[:5]
+            assert [x for x in zip((-score).tolist(), found.tolist()) if -x[0] >= floor] == [x for x in want if -x[0] >= floor]
