@@ -259,6 +259,24 @@ def _site_model(rnd):
     return sites.SiteModel(kmers, numeric)
 
 
+def test_candidate_totals_are_sums_over_candidate_rows(spark):
+    """Repeats, keys that come twice or are null, letters of several bytes, cut and missing sequences."""
+    rnd = random.Random(3)
+    data = [(1, "ACGTA" * 12), (1, "G" * 30), (2, "ACG"), (3, None), (4, "A" * 40), (5, ""), (None, "ACGTN" * 9), (6, "C" * 21)]
+    data += [(k, "".join(rnd.choice("ACGT\u00e9") for _ in range(rnd.randint(21, 70)))) for k in range(7, 15)]
+    data += [(20, (w := "".join(rnd.choice("ACGT") for _ in range(20))) + "T" + w + "A" + w[:19])]
+    df = spark.createDataFrame(data, "id int, s string").repartition(3)
+    cands = localise.sliding_candidates(df, "id", "s")
+    assert all(r.find == r.s.find(r.cand) for r in localise.sliding_candidates(df, "id", "s", carry=["s"]).collect())
+    gc = F.length("cand") - F.length(F.translate("cand", "GC", ""))
+    want = cands.groupBy("id").agg(
+        F.count("*"), F.count_if(F.length("cand") < F.col("len")), F.count_if(F.col("find") < F.col("i")), F.sum("find"), F.sum(gc))
+    got = localise.candidate_totals(df, "id", "s", "GC")
+    assert got.columns == ["id", *localise.TOTALS]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sites_are_those_of_columns_made_one_by_one(spark):
     """Every candidate as a row with the columns that ``site_columns`` gives known sites, weighed and ranked by plain code."""
     from phasegrid.operators import sites, structures
