@@ -98,6 +98,19 @@ def test_a_saved_model_classifies_alike_in_another_session(spark):
             assert ours == sorted(models.classify(other_rows, again, ["id", "a"], refit).collect()) and len(ours) == 301
 
 
+def test_forests_keep_the_node_of_each_row(spark):
+    """A level then costs one step a row and tree, not the whole way down again; the trees are the same."""
+    from pyspark.ml.linalg import Vectors
+
+    from phasegrid.learn import models
+
+    rows = [(float(i * 7 % 11 > 4), Vectors.dense([float(i % 13), float(i * i % 17), float(i % 2)])) for i in range(200)]
+    df = spark.createDataFrame(rows, ["label", "features"])
+    kept, walked = (models.forest(numTrees=6, **x).fit(df).toDebugString.split("\n", 1)[1] for x in ({}, {"cacheNodeIds": False}))
+    assert kept == walked
+    assert models.forest().getCacheNodeIds() and models.single_models(10)["forest"].getCacheNodeIds()
+
+
 def test_cross_validation_counts_every_row_once(spark):
     from pyspark.sql import functions as F
 
