@@ -102,7 +102,8 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     first = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF)))
     # a pair that the first half finds is not given again by the second
     once = (F.col("half") == 0) & (first <= 1) | (F.col("half") == 1) & (first > 1)
-    return home.join(visit, ["half", "anchor"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold) & once).select("a", "b")
+    # fingerprints stored are few bytes, but each is at many anchors: never sent whole to the driver and every task
+    return home.hint("merge").join(visit.hint("merge"), ["half", "anchor"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold) & once).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

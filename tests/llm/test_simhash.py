@@ -53,6 +53,12 @@ def test_links_are_all_pairs_within_the_threshold(spark, threshold):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_anchors_never_go_to_the_driver(spark):
+    """A small table of fingerprints is a large one of anchors; its size on disk says little."""
+    plan = simhash.links(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp bigint"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_anchors_cover_every_word():
     """Each 31-bit word is within 1 of the anchor its syndrome names, and anchors have syndrome 0."""
     rnd = random.Random(5)

@@ -314,6 +314,22 @@ def test_sites_are_those_of_columns_made_one_by_one(spark):
     assert best[2] == best[3] == best[5] == (None, None) and best[6][0] == cut[6][0]
 
 
+def test_precursors_of_one_batch_do_not_change_each_other():
+    """A precursor far shorter than the longest of its batch, with and without words that come twice."""
+    import numpy as np
+
+    from phasegrid.operators import sites
+
+    rnd = random.Random(11)
+    scorer = sites.SiteScorer(_site_model(rnd))
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (125, 21, 22, 60, 125, 24)] + ["ACG", "ACGTT" * 25, "", "AX" * 20, "A" * 33]
+    folds = ["".join(rnd.choice("(..).()") for _ in s) for s in seqs]
+    sizes, *together = scorer.ranked(seqs, folds)
+    alone = [scorer.ranked([s], [f]) for s, f in zip(seqs, folds)]
+    assert sizes.tolist() == [x[0][0] for x in alone]
+    assert all(np.array_equal(got, np.concatenate([x[k] for x in alone])) for k, got in enumerate(together, 1))
+
+
 def test_a_site_model_is_made_of_known_sites(spark):
     from phasegrid.operators import sites, structures
 
