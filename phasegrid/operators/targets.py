@@ -2,8 +2,10 @@
 
 A query pairs with a stretch of the target that equals its reverse complement.
 A paired run of at least ``min_len`` letters contains a shared word of exactly
-that length, so an equi-join on such words finds every run; consecutive words on
-one diagonal are then merged. No word is ever dropped for being frequent.
+that length. Every such word of a target covers an anchor, a shorter word that
+begins at a multiple of a fixed step, so an equi-join on anchors finds every run;
+the words around an agreeing anchor are then compared, and consecutive ones on
+one diagonal merged. No word is ever dropped for being frequent.
 """
 
 from __future__ import annotations
@@ -18,24 +20,61 @@ MIN_LEN = 18
 
 def words(seq: Column, size: int) -> Column:
     """All overlapping words of ``size`` letters, in order of their start, in one pass over the text."""
-    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def of_species(queries: DataFrame, prefix: str) -> DataFrame:
     return queries.filter(F.col("name").startswith(prefix))
 
 
+#: letters from one anchor to the next; a longer step makes fewer and shorter, hence commoner, anchors
+STEP = 5
+
+
+def anchors(seq: Column, size: int, step: int, min_len: int) -> Column:
+    """Pieces around the places 0, ``step``, 2 ``step`` ... at which a word of ``size`` letters begins, in one pass over the text.
+
+    A piece reaches from ``step`` - 1 letters before its place, blanks before the
+    text, as far as a word of ``min_len`` letters from there, or the text's end.
+    """
+    padded = F.concat(F.lit(" " * (step - 1)), seq)
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{step - 1 + size},{step - 1 + min_len}}})).{{{step}}}"), F.lit(1))
+
+
+def word_hits(targets: DataFrame, queries: DataFrame, target_id: str, seq: str, min_len: int = MIN_LEN, step: int = STEP) -> DataFrame:
+    """Every word of ``min_len`` letters that a target shares with a query: (target, ordinal, name, r_at, q_at), 0-based.
+
+    A word that begins at r covers the first anchor from r on, at most ``step`` - 1
+    letters later, and is found at that one alone.
+    """
+    step = max(1, min(step, min_len // 2))
+    size = min_len - step + 1
+    asked = queries.select("ordinal", "name", reverse_complement(F.col("seq")).alias("_q")).select(
+        "ordinal", "name", "_q", F.posexplode(words(F.col("_q"), size)).alias("_q_at", "word"))
+    around_q = F.substring(F.concat(F.lit(" " * (step - 1)), F.col("_q")), F.col("_q_at") + 1, F.lit(step - 1 + min_len))
+    asked = asked.select("ordinal", "name", "_q_at", "word", around_q.alias("_around_q"))
+    # not the plain posexplode: for that one the planner cuts each text twice, first to see whether there is a piece
+    at_anchors = targets.select(target_id, F.posexplode_outer(anchors(F.upper(F.col(seq)), size, step, min_len)).alias("_nth", "_around"))
+    scanned = at_anchors.select(target_id, (F.col("_nth") * step).alias("_r_at"), "_around", F.substring("_around", step, size).alias("word"))
+
+    def agrees(back: int) -> Column:
+        """Whether the words that begin ``back`` letters before the anchor are whole and equal."""
+        ours, theirs = (F.substring(c, step - back, min_len) for c in ("_around", "_around_q"))
+        return (F.col("_r_at") >= back) & (F.col("_q_at") >= back) & (F.length(ours) == min_len) & (ours == theirs)
+
+    shared = [F.when(agrees(back), F.lit(back)) for back in range(step)]
+    found = scanned.join(asked, "word").select(
+        target_id, "ordinal", "name", "_r_at", "_q_at", F.explode(F.array_compact(F.array(*shared))).alias("_back"))
+    return found.select(target_id, "ordinal", "name", (F.col("_r_at") - F.col("_back")).alias("r_at"), (F.col("_q_at") - F.col("_back")).alias("q_at"))
+
+
 def target_runs(targets: DataFrame, queries: DataFrame, target_id: str, seq: str, min_len: int = MIN_LEN) -> DataFrame:
     """Maximal paired runs: (target, ordinal, name, r_start, r_end, q_start, score).
 
     Starts are 1-based; ``q_start`` counts on the reverse-complemented query and
     the score is the number of paired letters.
     """
-    asked = queries.select(
-        "ordinal", "name", F.posexplode(words(reverse_complement(F.col("seq")), min_len)).alias("q_at", "word")
-    )
-    scanned = targets.select(target_id, F.posexplode(words(F.upper(F.col(seq)), min_len)).alias("r_at", "word"))
-    hits = scanned.join(asked, "word").withColumn("diagonal", F.col("r_at") - F.col("q_at"))
+    hits = word_hits(targets, queries, target_id, seq, min_len).withColumn("diagonal", F.col("r_at") - F.col("q_at"))
     line = Window.partitionBy(target_id, "ordinal", "diagonal").orderBy("r_at")
     return (
         hits.withColumn("_run", F.col("r_at") - F.row_number().over(line))
