@@ -10,6 +10,8 @@ one diagonal merged. No word is ever dropped for being frequent.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,10 @@ def target_runs(targets: DataFrame, queries: DataFrame, target_id: str, seq: str
 SALTS = 16
 #: letters of the longest part; longer ones would be rarer, but each size is a pass over the targets
 MAX_PART = 5
+#: blocks of a stretch that are compared before its letters are
+BLOCKS = 8
+#: places of a target that share a piece of its text
+PLACES = 16
 #: bytes up to which the words of the queries are sent to every task
 SENT_BYTES = 64 << 20
 
@@ -107,6 +113,10 @@ def target_mismatches(
     shorter than ``min_len`` and NULL sequences have no stretch; starts are 1-based.
     """
     hits = mismatch_candidates(targets, queries, target_id, seq, mismatches, min_len, sent_bytes)
+    # each of few unpaired letters is in one block of letters; blocks are compared in compiled code, letters one by one are not
+    size = F.ceil(F.length("_q") / BLOCKS).cast("int")
+    unlike = [(F.substring("_s", size * k + 1, size) != F.substring("_q", size * k + 1, size)).cast("int") for k in range(BLOCKS)]
+    hits = hits.filter(reduce(Column.__add__, unlike) <= mismatches)
     unpaired = F.size(F.filter(F.sequence(F.lit(1), F.length("_q")), lambda i: F.substring("_s", i, F.lit(1)) != F.substring("_q", i, F.lit(1))))
     start = (F.col("r_at") - F.col("q_at") + 1).alias("r_start")
     compared = hits.select(target_id, "ordinal", "name", start, F.length("_q").alias("_n"), unpaired.alias("mismatches"))
@@ -116,6 +126,11 @@ def target_mismatches(
     return once.withColumn("r_end", F.col("r_start") + F.col("_n") - 1).drop("_n")
 
 
+def _key(text: Column, at: Column, gap: Column, size: Column) -> Column:
+    """A number for two words of a text, ``gap`` letters apart; joins find numbers several times as fast as words."""
+    return F.xxhash64(F.substring(text, at + 1, size), F.substring(text, at + gap + 1, size), gap)
+
+
 def mismatch_candidates(
     targets: DataFrame, queries: DataFrame, target_id: str, seq: str, mismatches: int, min_len: int = MIN_LEN, sent_bytes: int = SENT_BYTES
 ) -> DataFrame:
@@ -137,22 +152,31 @@ def mismatch_candidates(
     known = usable.agg(F.max(F.length("seq")).alias("longest"), F.sum(F.length("seq") + 64).alias("bytes"), F.collect_set(size).alias("sizes")).first()
     longest, few = known["longest"] or 0, (known["bytes"] or 0) * len(pairs) <= sent_bytes
     places = F.inline(F.array(*[F.struct((F.lit(i) * F.col("_size")).alias("q_at"), (F.lit(j - i) * F.col("_size")).alias("gap")) for i, j in pairs]))
-    word = F.expr("concat(substring(_q, q_at + 1, _size), substring(_q, q_at + gap + 1, _size))").alias("word")
+    key = _key(F.col("_q"), F.col("q_at"), F.col("gap"), F.col("_size")).alias("_key")
     asked = usable.select("ordinal", "name", reverse_complement(F.col("seq")).alias("_q"), size.alias("_size")).select(
-        "ordinal", "name", "_q", "_size", places).select("ordinal", "name", "_q", "q_at", "gap", word)
-    # a place travels with the letters that any query around it can reach, all cut out in one pass over the text
+        "ordinal", "name", "_q", "_size", places).select("ordinal", "name", "_q", "_size", "q_at", "gap", key)
+    # a piece of the text has ``PLACES`` places and the letters that any query around them can reach; all are cut out in one pass
     padded = F.concat(F.lit(" " * longest), F.upper(F.col(seq)))
-    around = F.regexp_extract_all(padded, F.lit(f"(?=(.{{{longest + 1},{2 * longest}}}))"), F.lit(1))
-    at_places = targets.select(target_id, F.posexplode(around).alias("r_at", "_around")) if longest else targets.select(
-        target_id, F.lit(0).alias("r_at"), F.lit("").alias("_around")).limit(0)
-    cut = [F.struct(F.lit(n * d).alias("gap"), F.concat(F.substring("_around", longest + 1, n), F.substring("_around", longest + 1 + n * d, n)).alias("word"))
-           for n in sorted(known["sizes"]) for d in range(1, parts)]
-    scanned = at_places.select(target_id, "r_at", "_around", F.inline(F.array(*cut or [F.struct(F.lit(0).alias("gap"), F.lit("").alias("word"))])))
+    pieces = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{longest + 1},{2 * longest + PLACES - 1}}})).{{1,{PLACES}}}"), F.lit(1))
+    inside = F.sequence(F.lit(0), F.least(F.lit(PLACES), F.length("_piece") - longest) - 1)
+    at_pieces = targets.select(target_id, F.posexplode(pieces).alias("_nth", "_piece")) if longest else targets.select(
+        target_id, F.lit(0).alias("_nth"), F.lit("").alias("_piece")).limit(0)
+    sizes = sorted(known["sizes"]) or [1]
+    reach = F.expr(f"substring(_piece, _i + {longest + 1}, {sizes[-1] * parts})").alias("_reach")
+    at_places = at_pieces.select(target_id, "_nth", "_piece", F.explode(inside).alias("_i")).select(
+        target_id, (F.col("_nth") * PLACES + F.col("_i")).alias("r_at"), "_piece", "_i", reach)
+    keys = [_key(F.col("_reach"), F.lit(0), F.lit(n * d), F.lit(n)) for n in sizes for d in range(1, parts)]
+    scanned = at_places.select(target_id, "r_at", "_piece", "_i", F.explode(F.array(*keys)).alias("_key"))
+    around = F.substring("_piece", F.col("_i") + 1, F.lit(2 * longest)).alias("_around")
     if few:
-        hits = scanned.join(F.broadcast(asked), ["word", "gap"])
+        hits = scanned.join(F.broadcast(asked), "_key").select(target_id, "r_at", around, *asked.columns)
     else:
         copied = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = scanned.withColumn("salt", F.pmod(F.col("r_at"), F.lit(SALTS))).join(copied, ["word", "gap", "salt"])
+        salted = scanned.select(target_id, "r_at", around, "_key", F.pmod(F.col("r_at"), F.lit(SALTS)).alias("salt"))
+        hits = salted.join(copied, ["_key", "salt"])
+    # other letters may have the same key
+    same = [F.expr(f"substring(_around, {longest + 1} + {at}, _size) = substring(_q, q_at + 1 + {at}, _size)") for at in ("0", "gap")]
+    hits = hits.filter(same[0] & same[1])
     hits = hits.filter(F.col("r_at") >= F.col("q_at"))
     return hits.withColumn("_s", F.expr(f"substring(_around, {longest} - q_at + 1, length(_q))")).filter(F.length("_s") == F.length("_q"))
 
